@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import piece_codec, quality_rules, token_store, url_reputation
+from . import hmm_lm, piece_codec, quality_rules, token_store, url_reputation
 
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
@@ -22,6 +22,17 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def fold(divisor: int) -> Column:
+    """crc32 of the document id as text, modulo ``divisor``."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(divisor))
+
+
+def op1_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm_lm.score_documents(table(spark, sf_dir, "documents"), fold(7) != 2).select(
+        "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
