@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hmm_lm, knn_quality, langid, ngram_join, piece_codec, quality_rules, token_store, url_reputation
+from . import compaction, decontaminate, hmm_lm, knn_quality, langid, ngram_join, piece_codec, quality_rules, token_store, url_reputation
+from .workspace import shared_dir
 
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
@@ -37,12 +38,22 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in four arrivals, compacted after each, read back from the committed manifest."""
+    store = compaction.ingest(table(spark, sf_dir, "documents"), shared_dir(spark), fold(4), 4)
+    return store.read().select("doc_id", "lang", "source", "n_chars", F.md5(F.encode("text", "UTF-8")).alias("text_md5"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.flag_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"), fold(4) != 2).select("doc_id", (~F.col("train")).alias("held_out"), "lang_pred", "score", "rejected")
 
@@ -71,6 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 WORDS = r"[^\x20\x09-\x0D]+"
 
 ORACLE = {
+    "op3_compaction": "select doc_id, lang, source, n_chars, md5(text) as text_md5 from documents",
     "op10_url_reputation": r"""
 with parts as (
   select page_id, case when contains(url, '://') then substr(url, strpos(url, '://') + 3) end as rest from pages),
