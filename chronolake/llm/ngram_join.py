@@ -266,3 +266,23 @@ def link_documents(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -
     least = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
     member = materialise(named.join(least, "label").select("sig", "component_id"))
     return known.join(member, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, columns: tuple[str, ...], *, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``columns`` of one document for each component: that with the smallest id.
+
+    Rows that share the smallest id are told apart by their text, and exact copies of them keep one.  Documents without
+    words are linked with nothing and all stay; so do documents of a component without any id, one of each text.
+    """
+    linked = link_documents(docs, id=id, text=text)
+    heads = materialise(linked.where("n_shingles > 0 and component_id is not null and (doc_id is null or doc_id <> component_id)").select(F.col("doc_id").alias("gone")).where("gone is not null").distinct())
+    # a row goes if its id is that of a linked, larger id; what shares a kept id is compared by text
+    rest = docs.join(heads, F.col(id) == F.col("gone"), "left_anti")
+    twice = materialise(rest.groupBy(F.col(id).alias("again")).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("again"))
+    if twice.isEmpty():
+        return rest.select(*columns)
+    single = rest.join(twice, F.col(id).eqNullSafe(F.col("again")), "left_anti").select(*columns)
+    several = rest.join(twice, F.col(id).eqNullSafe(F.col("again")), "left_semi")
+    words = F.size(F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), "[\\x20\\x09-\\x0D]+", -1), ""))
+    empty = several.where(words == 0).select(*columns)
+    return single.unionByName(several.where(words > 0).dropDuplicates([id, text]).select(*columns)).unionByName(empty)

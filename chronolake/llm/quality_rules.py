@@ -50,13 +50,13 @@ REPEATED = """case when size(array_distinct(windows)) = size(windows) then 0L el
 BASE_FAILS = "n_words < 10 or 100 * n_repeat_words > 20 * n_words"
 
 
-def measures(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+def measures(docs: DataFrame, id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, text, words, n_lines and the base counts of every document; a null text has no words."""
-    rows = docs.select(F.col(id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = docs.select(F.col(id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.struct(*(F.col(c) for c in carry)).alias("carried") if carry else F.lit(True).alias("carried"))
     rows = rows.select("*", F.expr(f"array_remove(split(text, '{SPACES}', -1), '')").alias("words"), F.expr("filter(split(text, '\\n', -1), l -> l rlike '[^\\\\x20\\\\x09-\\\\x0D]')").alias("lines"))
     rows = rows.select("*", F.expr(WINDOWS).alias("windows"))
     return rows.select(
-        "doc_id", "text", "words",
+        "doc_id", "text", "words", "carried",
         F.expr("cast(size(words) as bigint)").alias("n_words"),
         F.expr("cast(length(array_join(words, '')) as bigint)").alias("word_chars"),
         F.expr("cast(regexp_count(text, '[#*$%&|<>]') as bigint)").alias("n_symbols"),
@@ -92,20 +92,24 @@ def verdict(rules: list[Rule]) -> Column:
     return out
 
 
-def apply_rules(docs: DataFrame, *, id: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = 1000) -> DataFrame:
-    """doc_id, the base counts, base_failed, rejected_by and kept, one row per document.
+def apply_rules(docs: DataFrame, *, id: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = 1000, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the base counts, base_failed, rejected_by and kept, one row per document;
+    or, with ``carry``, those columns of the documents that are kept.
 
     Null and empty texts have no words and fail the base check.  Null ids and repeated rows stay, each judged on
     its own; an empty table gives no rows; other columns are not read.  ``sample_rows`` bounds the sample that
     only sets the order of the rules.
     """
-    rows = measures(docs, id, text)
+    rows = measures(docs, id, text, carry)
     every = max(1, docs.count() // sample_rows)
     picked = docs.where(F.pmod(F.xxhash64(F.col(id).cast("string")), F.lit(every)) == 0)
     ranked = cascade_order(materialise(measures(picked, id, text)), rules)
     first = F.when(F.expr(BASE_FAILS), F.lit("base"))
-    return rows.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        F.expr(BASE_FAILS).alias("base_failed"),
-        first.otherwise(verdict([r for r, _, _ in ranked])).alias("rejected_by"),
-    ).withColumn("kept", F.col("rejected_by").isNull())
+    failed = first.otherwise(verdict([r for r, _, _ in ranked]))
+    # a generator between the measures and what follows: a filter on the result must not be pushed below it, where
+    # every use of a measure would become a computation of its own
+    if carry:
+        return rows.select(F.explode(F.when(failed.isNull(), F.array("carried")).otherwise(F.array())).alias("row")).select("row.*")
+    base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    out = F.struct(*base, F.expr(BASE_FAILS).alias("base_failed"), failed.alias("rejected_by"))
+    return rows.select(F.explode(F.array(out)).alias("row")).select("row.*").withColumn("kept", F.col("rejected_by").isNull())
