@@ -5,15 +5,30 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .operators import pit, quality, series
+from .plans import evaluation, resolution, timeseries, views
+
+Query = Callable[[SparkSession, str], DataFrame]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").count()
+    """Per source at one issue time: resolved series, missing values, coverage and freshness."""
+    obs = views.observations(spark, sf_dir)
+    now = pit.as_of(obs, views.at())
+    resolved = now.groupBy("source_id").agg(F.count(F.lit(1)).alias("resolved"), F.count_if(F.col("value").isNull()).alias("missing"), F.max("event_time").alias("last_event"))
+    cover = quality.coverage(obs, views.at()).select("source_id", "rows", "eligible", "units")
+    return resolved.join(cover, "source_id").join(series.freshness(obs, views.at()), "source_id").orderBy("source_id")
+
+
+def _all() -> dict[str, tuple[Query, str | None]]:
+    return resolution.QUERIES | timeseries.QUERIES | evaluation.QUERIES
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return {"flagship": flagship} | {k: q for k, (q, _) in _all().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: s for k, (_, s) in _all().items() if s}

@@ -1,0 +1,139 @@
+"""Joint residual uncertainty: covariance, draws, calibration, stability and method comparison."""
+
+from __future__ import annotations
+
+import math
+import random
+from functools import reduce
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions.scalars import normal_points
+from ..guards import Refused
+
+
+def residual_panel(residuals: DataFrame, targets: list[str], *keys: str) -> DataFrame:
+    """One row for each key that all targets have: one aggregation instead of a join for each target."""
+    wide = residuals.groupBy(*keys).agg(*(F.max(F.when(F.col("target") == t, F.col("residual"))).alias(t) for t in targets), F.count(F.lit(1)).alias("_n"))
+    full = reduce(lambda a, b: a & b, (F.col(t).isNotNull() for t in targets))
+    return wide.where(full & (F.col("_n") == len(targets))).drop("_n")
+
+
+def pair_names(targets: list[str]) -> list[tuple[str, str]]:
+    return [(a, b) for i, a in enumerate(targets) for b in targets[i:]]
+
+
+def covariance(panel: DataFrame, targets: list[str], *buckets: str) -> DataFrame:
+    """Bias of each target and sample covariance of each pair, per bucket."""
+    return panel.groupBy(*buckets).agg(F.count(F.lit(1)).alias("n"), *(F.avg(t).alias(f"bias_{t}") for t in targets), *(F.covar_samp(a, b).alias(f"cov_{a}_{b}") for a, b in pair_names(targets)))
+
+
+def stability(panel: DataFrame, targets: list[str], order: str, rows: int) -> DataFrame:
+    """The largest relative Frobenius distance of a chunk's covariance from the whole's; partial chunks are dropped.
+
+    Rows are numbered within days and days by running counts, so no task sorts them all.
+    """
+    day = F.to_date(order)
+    per_day = panel.groupBy(day.alias("_d")).agg(F.count(F.lit(1)).alias("_k"))
+    start = per_day.withColumn("_s", F.coalesce(F.sum("_k").over(Window.orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_k")
+    numbered = panel.withColumn("_d", day).join(start, "_d").withColumn("_r", F.col("_s") + F.row_number().over(Window.partitionBy("_d").orderBy(order)) - 1)
+    chunk = numbered.withColumn("chunk", F.floor(F.col("_r") / rows))
+    names = [f"cov_{a}_{b}" for a, b in pair_names(targets)]
+    twice = [1 if a == b else 2 for a, b in pair_names(targets)]
+    whole = covariance(panel, targets).first()
+    norm = math.sqrt(sum(k * whole[n] ** 2 for n, k in zip(names, twice, strict=True)))
+    if not norm:
+        raise Refused("the residuals do not vary")
+    off = reduce(lambda a, b: a + b, (k * F.pow(F.col(n) - F.lit(whole[n]), 2) for n, k in zip(names, twice, strict=True)))
+    return covariance(chunk, targets, "chunk").where(F.col("n") == rows).select("chunk", (F.sqrt(off) / F.lit(norm)).alias("deviation"))
+
+
+def qq(df: DataFrame, value: str, *keys: str, points: int = 19) -> DataFrame:
+    """Probability, normal quantile and standardised sample quantile at evenly spaced probabilities."""
+    p = normal_points(points)
+    own = df.groupBy(*keys).agg(F.percentile(value, F.array(*(F.lit(a) for a, _ in p))).alias("q"), F.avg(value).alias("m"), F.stddev_pop(value).alias("s"))
+    rows = F.transform(F.arrays_zip(F.array(*(F.lit(a) for a, _ in p)).alias("p"), F.array(*(F.lit(b) for _, b in p)).alias("z"), F.col("q")), lambda x: x)
+    return own.select(*keys, F.explode(rows).alias("x"), "m", "s").select(*keys, F.col("x.p").alias("probability"), F.col("x.z").alias("normal"), F.try_divide(F.col("x.q") - F.col("m"), F.col("s")).alias("sample"))
+
+
+def paired_wins(weekly: DataFrame, baseline: str, tolerance: float = 0.0) -> DataFrame:
+    """Weeks in which each method beats the baseline, and whether to keep it: the baseline always is."""
+    base = weekly.where(F.col("method") == baseline).select("week", F.col("score").alias("_base"))
+    both = weekly.join(base, "week")
+    wins = both.groupBy("method").agg(F.count(F.lit(1)).alias("weeks"), F.count_if(F.col("score") <= F.col("_base") - tolerance).alias("wins"), F.avg("score").alias("mean_score"))
+    return wins.withColumn("keep", (F.col("method") == baseline) | (F.col("wins") * 2 > F.col("weeks")))
+
+
+def cholesky(cov: list[list[float]], tolerance: float = 1e-9) -> list[list[float]]:
+    """Lower factor of a positive semidefinite matrix; a pivot of zero gives a column of zeros."""
+    m = np.array(cov, float)
+    n = len(m)
+    low = np.zeros((n, n))
+    for j in range(n):
+        d = m[j, j] - low[j, :j] @ low[j, :j]
+        if d < -tolerance:
+            raise Refused("the covariance is not positive semidefinite")
+        if d <= tolerance * 1e-3 or d <= 0:
+            continue
+        low[j, j] = math.sqrt(d)
+        for i in range(j + 1, n):
+            low[i, j] = (m[i, j] - low[i, :j] @ low[j, :j]) / low[j, j]
+    return low.tolist()
+
+
+def draw(seed: int, samples: int, low: list[list[float]], centre: list[float], scale: float = 1.0, freedom: float | None = None) -> list[list[int]]:
+    """Integer samples of each target from one seeded generator: the same for a row wherever it is computed."""
+    rng, n, root = random.Random(seed), len(centre), math.sqrt(scale)
+    out = [[0] * samples for _ in range(n)]
+    for k in range(samples):
+        z = [rng.gauss(0.0, 1.0) for _ in range(n)]
+        shrink = 1.0
+        if freedom is not None:
+            d = max(int(freedom), 1)
+            shrink = math.sqrt(d / max(1e-12, sum(rng.gauss(0.0, 1.0) ** 2 for _ in range(d))))
+        for i in range(n):
+            out[i][k] = round(centre[i] + root * shrink * sum(low[i][j] * z[j] for j in range(i + 1)))
+    return out
+
+
+def joint_samples(points: DataFrame, targets: list[str], bias: list[float], cov: list[list[float]], *, key: str, seed: int, samples: int = 300, scale: float = 1.0, freedom: float | None = None) -> DataFrame:
+    """key and an integer array for each target. Every row's draws depend on the seed and its key alone."""
+    low = cholesky(cov)
+
+    def run(batches):
+        for pdf in batches:
+            rows = [draw(seed ^ int(h), samples, low, [float(v) + b for v, b in zip(row, bias, strict=True)], scale, freedom) for h, row in zip(pdf["_h"], pdf[targets].itertuples(index=False), strict=True)]
+            yield pd.DataFrame({key: pdf[key], **{t: [r[i] for r in rows] for i, t in enumerate(targets)}})
+
+    kind = points.schema[key].dataType.simpleString()
+    return points.select(key, F.xxhash64(F.col(key).cast("string")).alias("_h"), *targets).mapInPandas(run, f"{key} {kind}, " + ", ".join(f"{t} array<int>" for t in targets))
+
+
+def calibrated_scale(noise_low: np.ndarray, noise_high: np.ndarray, residual: np.ndarray, coverage: float = 0.9, steps: int = 25) -> float:
+    """The covariance scale in [0.1, 5] whose central interval covers ``coverage`` of the residuals.
+
+    Quantiles of the noise are found once: under a scale they move with its root, so no step draws again.
+    """
+    lo, hi = 0.1, 5.0
+    for _ in range(steps):
+        mid = (lo + hi) / 2
+        root = math.sqrt(mid)
+        if ((root * noise_low <= residual) & (residual <= root * noise_high)).mean() < coverage:
+            lo = mid
+        else:
+            hi = mid
+    return (lo + hi) / 2
+
+
+def placeholder_loss(mae: Column, sharpness: Column, capture: Column, coverage: float = 0.9) -> Column:
+    return mae + 0.5 * sharpness + 10 * F.greatest(F.lit(0.0), coverage - capture)
+
+
+def bucket(method: str, horizon: str = "horizon", target_time: str = "target_time") -> Column:
+    """Grouping key: the horizon, the hour of day, or one bucket."""
+    if method == "horizon":
+        return F.col(horizon).cast("int")
+    return F.hour(target_time) if method == "hour" else F.lit(0)
