@@ -49,8 +49,8 @@ class PieceCodec:
         for byte, i in self.bytes.items():
             texts[i] = bytes([byte])
         self.texts = Runs(np.uint8)
-        self.texts.add(texts)
-        self.cache = ChunkCache(lambda new: [self.best(c) for c in new])
+        self.texts.add_each(texts)
+        self.cache = ChunkCache(lambda new, runs: runs.add_each([self.best(" " + c) for c in new]))
 
     def best(self, chunk: str) -> list[int]:
         """Ids of the segmentation with the highest sum of scores; of equal ones, that with the longest last piece."""
@@ -85,16 +85,16 @@ class PieceCodec:
 
     @staticmethod
     def chunks(text: str) -> list[str]:
-        """The text after a leading space, cut before every run of spaces."""
+        """The text after a leading space, cut before every run of spaces; the first space of each cut is left out."""
         if not text:
             return []
         if "  " in text or text[0] == " " or text[-1] == " ":
-            return WORDS.findall(" " + text)
-        return [" " + p for p in text.split(" ")]
+            return [c[1:] for c in WORDS.findall(" " + text)]
+        return text.split(" ")
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and the number of each. An empty text has none."""
-        return self.cache.ids([self.chunks(t) for t in texts])
+        return self.cache.ids(*self.cache.index([self.chunks(t) for t in texts]))
 
     def decode(self, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """UTF-8 bytes of the texts and their offsets: the leading space that encoding put there goes."""
@@ -118,13 +118,13 @@ def codec(model: str) -> PieceCodec:
     return _codecs[model]
 
 
-def encode_documents(docs: DataFrame, model: str, *, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, ids, n_tokens, decoded: the text that the ids decode to.
+def encode_documents(docs: DataFrame, model: str, *, id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, ids, n_tokens, decoded (the text that the ids decode to) and the columns ``carry``.
 
     Null and empty texts have no ids and decode to the empty text; null ids and repeated rows stay; an empty table
     gives no rows; other columns are not read.
     """
-    return _mapped(docs, model, id, text, False)
+    return _mapped(docs, model, id, text, False, carry)
 
 
 def codec_digest(docs: DataFrame, model: str, *, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -132,7 +132,7 @@ def codec_digest(docs: DataFrame, model: str, *, id: str = "doc_id", text: str =
     return _mapped(docs, model, id, text, True)
 
 
-def _mapped(docs: DataFrame, model: str, id: str, text: str, short: bool) -> DataFrame:
+def _mapped(docs: DataFrame, model: str, id: str, text: str, short: bool, carry: tuple[str, ...] = ()) -> DataFrame:
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,8 +149,10 @@ def _mapped(docs: DataFrame, model: str, id: str, text: str, short: bool) -> Dat
             else:
                 cuts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 decoded = pa.StringArray.from_buffers(len(sizes), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(cuts), pa.array(ids, pa.int32())), pa.array(sizes), decoded], names=["doc_id", "ids", "n_tokens", "decoded"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(cuts), pa.array(ids, pa.int32())), pa.array(sizes), decoded, *(batch.column(c) for c in extra)], names=["doc_id", "ids", "n_tokens", "decoded", *extra])
 
-    rows = docs.select(F.col(id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.select(F.col(id).cast("bigint").alias("doc_id"), F.col(text).alias("text"), *(F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)))
+    extra = rows.columns[2:]
     schema = "doc_id bigint, n_tokens bigint, ids_crc32 bigint, exact boolean" if short else "doc_id bigint, ids array<int>, n_tokens bigint, decoded string"
-    return rows.mapInArrow(run, schema)
+    schema += "".join(f", {f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[2:])
+    return rows.mapInArrow(run, schema).withColumnsRenamed(dict(zip(extra, carry, strict=True)))

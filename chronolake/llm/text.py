@@ -17,10 +17,11 @@ SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 #: Bytes hashed at a time; bounds the temporary arrays.
-BLOCK = 1 << 21
+BLOCK = 1 << 16
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_EXACT = _BYTE.copy()
 _BYTE[65:91] = _BYTE[97:123]
 _P = 0x9E3779B97F4A7C15 | 1
 _P_INV = pow(_P, -1, 1 << 64)
@@ -101,6 +102,24 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return np.concatenate(hashes), np.searchsorted(where, offsets)
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The hash of each span of bytes, cases kept apart.  Spans are in order, do not overlap, and are not long."""
+    out, at = np.zeros(len(starts), np.uint64), 0
+    while at < len(starts):
+        lo = starts[at]
+        to = max(at + 1, int(np.searchsorted(ends, lo + BLOCK, "right")))
+        b = data[lo : ends[to - 1]]
+        total = _EXACT[b]
+        total *= _power(_P, len(b))
+        np.cumsum(total, out=total)
+        total = np.concatenate([np.zeros(1, np.uint64), total])
+        first, last = starts[at:to] - lo, ends[at:to] - lo
+        h = (total[last] - total[first]) * _power(_P_INV, len(b) + 1)[first]
+        out[at:to] = mix(h ^ (last - first).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        at = to
+    return out
+
+
 def shingle_hashes(words: np.ndarray, cuts: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of ``width`` words and their number before each document.
 

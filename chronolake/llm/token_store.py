@@ -7,7 +7,7 @@ small enough that a reader of a few documents, or of metadata alone, skips the r
 
 from __future__ import annotations
 
-import re
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,8 +16,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .ragged import ChunkCache, crc32_runs
-from .text import slices
+from .ragged import Runs, crc32_runs
+from .text import buffers, slices, span_hashes
 from .workspace import bounded_batches, partitions, shared_dir
 
 FILES = {
@@ -34,26 +34,155 @@ FILES = {
     "parquet.column.index.enabled": "true",
 }
 
-#: A space between two characters that are no white space: the pre-tokenizer always starts a new piece there.
-SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-UNSAFE = re.compile(r"\s | \s|^ | $")
+#: White space of one byte.
+BLANK = np.zeros(256, bool)
+BLANK[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
+#: Signs that are a token of their own between a letter and a space.
+SIGNS = np.zeros(256, bool)
+SIGNS[list(b".,;:?!")] = True
+LETTER = np.zeros(256, bool)
+LETTER[65:91] = LETTER[97:123] = True
+#: New chunks that are encoded as one text, chunks that the cache holds, and how many of the oldest outlive it.
+JOINED, MOST, KEPT = 500, 300_000, 150_000
 
 
-def chunks(text: str) -> list[str]:
-    """The text cut before every safe space; encoding the chunks one by one gives the ids of the whole."""
-    if not text:
-        return []
-    parts = text.split(" ") if not UNSAFE.search(text) else SAFE_SPACE.split(text)
-    head, tail = parts[0], parts[1:]
-    return [head, *[" " + p for p in tail]]
+def chunk_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of chunks, whether each starts its text, and chunks before each text (len+1 values).
 
+    A space between two characters that are no white space always starts a new piece of the pre-tokenizer, so texts
+    can be cut there.  A byte that may belong to white space of several bytes counts as such.
+    """
+    n = len(data)
+    at = np.flatnonzero(data == 32)
+    pad = np.concatenate([np.full(3, 32, np.uint8), data, np.full(3, 32, np.uint8)])
+    b = lambda k: pad[at + 3 + k]
+    wide = ((b(-2) == 0xC2) & ((b(-1) == 0x85) | (b(-1) == 0xA0))) | ((b(-3) >= 0xE1) & (b(-3) <= 0xE3) & (b(-2) <= 0x9A) & (b(-2) >= 0x80))
+    wide |= ((b(1) == 0xC2) & ((b(2) == 0x85) | (b(2) == 0xA0))) | ((b(1) >= 0xE1) & (b(1) <= 0xE3) & (b(2) <= 0x9A))
+    at = at[~(wide | BLANK[b(-1)] | BLANK[b(1)])]
+    inner = np.ones(len(at), bool)
+    edge = np.zeros(n + 1, bool)
+    edge[offsets] = True
+    inner = ~(edge[at] | edge[at + 1])  # first or last in its text
+    at = at[inner]
+    some = np.flatnonzero(np.diff(offsets) > 0)
+    starts = np.concatenate([offsets[some], at + 1])
+    head = np.concatenate([np.ones(len(some), bool), np.zeros(len(at), bool)])
+    ends = np.concatenate([offsets[some + 1], at])
+    order = np.argsort(starts, kind="stable")
+    starts, head, ends = starts[order], head[order], np.sort(ends)
+    return starts, ends, head, np.searchsorted(starts, offsets)
+
+
+class TextEncoder:
+    """Token ids of whole texts; each distinct chunk between safe spaces is encoded once."""
+
+    def __init__(self, tokenizer: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; more threads only take memory
+        from tokenizers import Tokenizer
+
+        self.model = Tokenizer.from_file(tokenizer)
+        self.model.encode_special_tokens = True  # their strings in a text are ordinary text
+        vocabulary = self.model.get_vocab()
+        self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes of each id: a character stands for one
+        for token, i in vocabulary.items():
+            self.width[i] = len(token)
+        self.signs = np.zeros(256, np.int32)
+        for c in np.flatnonzero(SIGNS).tolist():
+            self.signs[c] = vocabulary[chr(c)]
+        self.hashes, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted by hash
+        self.young = (self.hashes, self.numbers)
+        self.runs = Runs(np.int32)
+
+    def _find(self, wanted: np.ndarray) -> np.ndarray:
+        out = np.full(len(wanted), -1, np.int64)
+        for hashes, numbers in ((self.hashes, self.numbers), self.young):
+            if len(hashes):
+                place = np.minimum(np.searchsorted(hashes, wanted), len(hashes) - 1)
+                out = np.where(hashes[place] == wanted, numbers[place], out)
+        return out
+
+    def _remember(self, hashes: np.ndarray, first: int) -> None:
+        joined = np.concatenate([self.young[0], hashes]), np.concatenate([self.young[1], first + np.arange(len(hashes))])
+        order = np.argsort(joined[0])
+        self.young = joined[0][order], joined[1][order]
+        if len(order) > 50_000:
+            joined = np.concatenate([self.hashes, self.young[0]]), np.concatenate([self.numbers, self.young[1]])
+            order = np.argsort(joined[0])
+            self.hashes, self.numbers = joined[0][order], joined[1][order]
+            self.young = (self.hashes[:0], self.numbers[:0])
+
+    def _shrink(self) -> None:
+        """The oldest chunks stay: the common ones turned up first."""
+        old = self.numbers < KEPT
+        self.hashes, self.numbers = self.hashes[old], self.numbers[old]
+        self.young = (self.hashes[:0], self.numbers[:0])
+        self.runs.keep(min(KEPT, len(self.runs.lengths)))
+        if len(self.runs.flat) > 8 * KEPT:
+            self.hashes, self.numbers, self.runs = self.hashes[:0], self.numbers[:0], Runs(np.int32)
+
+    def _encode(self, chunks: list[str], head: np.ndarray) -> None:
+        plain = np.fromiter((" " not in c for c in chunks), bool, len(chunks)) & ~head
+        alone, joint = np.flatnonzero(~plain).tolist(), np.flatnonzero(plain).tolist()
+        n = len(chunks)
+        starts, lengths, flats, at = np.zeros(n, np.int64), np.zeros(n, np.int64), [np.zeros(0, np.int64)], 0
+        groups = [joint[a : a + JOINED] for a in range(0, len(joint), JOINED)]
+        for lo in range(0, len(groups), 8):
+            texts = [" " + " ".join([chunks[i] for i in g]) for g in groups[lo : lo + 8]]
+            for g, text, x in zip(groups[lo : lo + 8], texts, self.model.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+                ids = np.array(x.ids, np.int64)
+                data = np.frombuffer(text.encode(), np.uint8)
+                want = np.append(np.flatnonzero(data == 32)[1:], len(data))  # each space starts a chunk
+                ends = np.searchsorted(np.cumsum(self.width[ids]), want) + 1
+                begins = np.concatenate([[0], ends[:-1]])
+                starts[g], lengths[g] = at + begins, ends - begins
+                flats.append(ids)
+                at += len(ids)
+        if alone:
+            for i, x in zip(alone, self.model.encode_batch_fast([chunks[i] if head[i] else " " + chunks[i] for i in alone], add_special_tokens=False), strict=True):
+                ids = np.array(x.ids, np.int64)
+                starts[i], lengths[i] = at, len(ids)
+                flats.append(ids)
+                at += len(ids)
+        self.runs.add(np.concatenate(flats), starts, lengths)
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, and the number of each."""
+        if len(self.runs.lengths) > MOST or len(self.runs.flat) > 8 * MOST:
+            self._shrink()
+        starts, ends, head, cuts = chunk_spans(data, offsets)
+        long = ends - starts > 1
+        last, before, third = data[np.maximum(ends - 1, 0)], data[np.maximum(ends - 2, 0)], data[np.maximum(ends - 3, 0)]
+        signed = long & SIGNS[last] & (LETTER[before] | ((ends - starts > 2) & (third == 0xC3) & (before >= 0x80) & (before != 0x97) & (before != 0xB7)))
+        ends = ends - signed
+        hashes = span_hashes(data, starts, ends) ^ np.where(head, np.uint64(0x5851F42D4C957F2D), np.uint64(0))
+        unique, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+        number = self._find(unique)
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            new = new[np.argsort(first[new])]  # in the order of the texts
+            own = first[new]
+            whole = data.tobytes()
+            have = len(self.runs.lengths)
+            self._encode([whole[a:b].decode() for a, b in zip(starts[own].tolist(), ends[own].tolist(), strict=True)], head[own])
+            number[new] = have + np.arange(len(new))
+            self._remember(unique[new], have)
+        index = number[back]
+        sizes = self.runs.lengths[index]
+        flat = self.runs.take(index)
+        stops = np.cumsum(sizes)
+        flat = np.insert(flat, stops[signed], self.signs[last[signed]])
+        total = np.concatenate([[0], np.cumsum(sizes + signed)])
+        return flat, total[cuts[1:]] - total[cuts[:-1]]
+
+
+_encoders: dict[str, TextEncoder] = {}
 
-def encoder(tokenizer: str) -> ChunkCache:
-    from tokenizers import Tokenizer
 
-    model = Tokenizer.from_file(tokenizer)
-    model.encode_special_tokens = True  # their strings in a text are ordinary text
-    return ChunkCache(lambda new: [x.ids for x in model.encode_batch_fast(new, add_special_tokens=False)])
+def encoder(tokenizer: str) -> TextEncoder:
+    """One encoder for each worker process and tokenizer file; its cache of common chunks outlives a task."""
+    if tokenizer not in _encoders:
+        _encoders[tokenizer] = TextEncoder(tokenizer)
+    return _encoders[tokenizer]
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, *, end_id: int, id: str = "doc_id", text: str = "text", files: int | None = None) -> None:
@@ -66,9 +195,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, *, end_id: int
     bounded_batches(spark)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, shard, before = encoder(tokenizer), TaskContext.get().partitionId(), 0
-        for batch in slices(batches, "text", 2 << 20):
-            flat, sizes = cache.ids([chunks(t) for t in batch.column("text").fill_null("").to_pylist()])
+        own, shard, before = encoder(tokenizer), TaskContext.get().partitionId(), 0
+        for batch in slices(batches, "text", 1 << 20):
+            flat, sizes = own.encode(*buffers(batch.column("text")))
             n = len(sizes)
             ends = np.cumsum(sizes)
             flat = np.insert(flat, ends, end_id)
