@@ -79,9 +79,37 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
-WORDS = r"[^\x20\x09-\x0D]+"
-
 ORACLE = {
+    "op2_ngram_join": r"""
+with recursive w as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
+g as (
+  select distinct doc_id, array_to_string(ws[i : i + 4], ' ') as gram from (select doc_id, ws, unnest(range(1, len(ws) - 3)) as i from w where len(ws) >= 5)
+  union all select doc_id, array_to_string(ws, ' ') from w where len(ws) between 1 and 4),
+n as (select doc_id, count(*) as n from g group by 1),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as k from g a join g b on a.gram = b.gram and a.doc_id < b.doc_id group by 1, 2),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= 80 * (x.n + y.n - k)),
+e as (select a, b from l union all select b, a from l),
+r(doc_id, other) as (select a, b from e union select r.doc_id, e.b from r join e on e.a = r.other),
+c as (select doc_id, min(other) as least from r group by 1)
+select w.doc_id, coalesce(n.n, 0)::bigint as n_shingles, least(w.doc_id, coalesce(c.least, w.doc_id)) as component_id from w left join n using (doc_id) left join c using (doc_id)""",
+    "op4_quality_rules": r"""
+with w as (
+  select doc_id, coalesce(text, '') as text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from documents),
+g as (select doc_id, i, ws[i : i + 4] as win from (select doc_id, ws, unnest(range(1, len(ws) - 3)) as i from w where len(ws) >= 6)),
+d as (select doc_id, unnest(places) as i from (select doc_id, win, list(i) as places from g group by 1, 2 having count(*) > 1)),
+r as (select doc_id, count(distinct i + j) as n_repeat_words from d, range(5) t(j) group by 1),
+m as (
+  select w.doc_id, len(ws)::bigint as n_words, length(array_to_string(ws, ''))::bigint as word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::bigint as n_symbols,
+    (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, coalesce(n_repeat_words, 0)::bigint as n_repeat_words, len(lines) as n_lines,
+    len(regexp_extract_all(text, '[|!]')) as signs, length(regexp_replace(text, '[^\p{L}]+', '', 'g')) as letters, len(list_distinct(ws)) as kinds
+  from w left join r using (doc_id)),
+f as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from m)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not (base_failed or word_chars < 2 * n_words or word_chars > 18 * n_words or n_symbols * 5 > n_words or signs * 4 > n_words
+    or (n_lines >= 4 and n_dup_lines * 2 > n_lines) or letters * 2 < word_chars or (n_words >= 50 and kinds * 10 < n_words)) as kept
+from f""",
     "op3_compaction": "select doc_id, lang, source, n_chars, md5(text) as text_md5 from documents",
     "op10_url_reputation": r"""
 with parts as (
