@@ -7,8 +7,8 @@ separately, and summed:
    A document whose sum is too low to reach the similarity with anything leaves: two linked sets differ in at most
    a fifth of either, so all but ``n - ceil(t n)`` of the half's n-grams must be shared.
 2. The documents left, one for each distinct set, are ordered by n-gram frequency; linked sets share an n-gram among
-   the rarest ``n - ceil(t n) + 1`` of both.  Each n-gram first proposes pairs with one leader only; sets that a
-   verified link already joins need no further pair; what is left is paired in full.
+   the rarest ``n - ceil(t n) + 1`` of both.  Each n-gram first proposes pairs with leaders only; sets that verified
+   links already join need no further pair; what is left is paired in full.
 3. The overlap of each proposed pair is counted fragment by fragment and summed per pair.
 
 Equal sets form classes, so copies are never paired.  Components come from alternating star contractions.
@@ -33,14 +33,18 @@ WIDTH = 5
 THRESHOLD = 80
 #: Words of a chunk of documents that is sorted together.
 CHUNK_WORDS = 1_000_000
-#: Fragments of the order in which the overlaps of proposed pairs are counted.
-FRAGMENTS = 4
+#: Rows of a table that one task takes.
+SMALL_ROWS = 400_000
+#: Sets at which an n-gram is common, and common n-grams of a set that are looked at to make a pair once.
+COMMON, MOST_COMMON = 64, 32
+#: Where the order is cut into fragments for the overlaps of proposed pairs: after n-grams of so many sets.
+PIVOTS = (32,)
 #: Bits of a hash that step 1 compares; equal bits of different n-grams only keep a document longer.
 SHORT_BITS = 44
-#: Rounds of pairs with leaders before all pairs that are left.
-STAR_ROUNDS = 2
+#: Turns of pairs with leaders before all pairs that are left; sets beside one leader from the second turn on.
+TURNS, PARTNERS = 3, 4
 
-CHUNK_SCHEMA = "kind int, frag int, chunk bigint, doc_ids array<bigint>, size binary, half binary, sig binary, data binary"
+CHUNK_SCHEMA = "kind int, frag int, chunk bigint, doc_ids array<bigint>, size binary, half binary, sig binary, mark binary, data binary"
 
 
 def shingle_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -80,7 +84,7 @@ def _chunks(frags: int):
             order = np.argsort(short, kind="stable")
             short, doc = short[order], doc[order]
             cut = np.searchsorted(short, [(f << (SHORT_BITS - 1)) // frags for f in range(frags + 1)])
-            rows = [(1, -1, chunk, batch.column("doc_id").to_pylist(), size.astype(np.int64).tobytes(), half.astype(np.int64).tobytes(), sig.tobytes(), None)]
+            rows = [(1, -1, chunk, batch.column("doc_id").to_pylist(), size.astype(np.int64).tobytes(), half.astype(np.int64).tobytes(), sig.tobytes(), batch.column("mark").to_numpy(zero_copy_only=False).astype(np.int64).tobytes(), None)]
             for f in range(frags):
                 a, b = cut[f], cut[f + 1]
                 if a < b:
@@ -88,10 +92,10 @@ def _chunks(frags: int):
                     wide = bool(len(steps) and int(steps.max()) >= 1 << 32)
                     kind = np.uint16 if len(size) < 65536 else np.uint32
                     head = np.array([b - a, int(short[a]), wide, np.dtype(kind).itemsize], np.int64)
-                    rows.append((0, f, chunk, None, None, None, sig.tobytes(), b"".join((head.tobytes(), steps.astype(np.uint64 if wide else np.uint32).tobytes(), doc[a:b].astype(kind).tobytes()))))
+                    rows.append((0, f, chunk, None, None, None, sig.tobytes(), None, b"".join((head.tobytes(), steps.astype(np.uint64 if wide else np.uint32).tobytes(), doc[a:b].astype(kind).tobytes()))))
             cols = list(zip(*rows, strict=True))
-            types = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 4]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["kind", "frag", "chunk", "doc_ids", "size", "half", "sig", "data"])
+            types = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 5]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["kind", "frag", "chunk", "doc_ids", "size", "half", "sig", "mark", "data"])
 
     return run
 
@@ -102,7 +106,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
             if row["kind"]:
-                yield _chunk_batch(row["chunk"], row["doc_ids"], row["size"], row["half"], row["sig"], None)
+                yield _chunk_batch(row["chunk"], row["doc_ids"], row["size"], row["half"], row["sig"], row["mark"], None)
                 continue
             n, start, wide, narrow = np.frombuffer(row["data"], np.int64, 4).tolist()
             steps = np.frombuffer(row["data"], np.uint64 if wide else np.uint32, n - 1, 32)
@@ -123,25 +127,25 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for chunk, g, doc, sig in parts:
         count = np.bincount(doc[shared[at : at + len(g)]], minlength=len(sig))
         at += len(g)
-        yield _chunk_batch(chunk, None, None, None, None, count.astype(np.uint32).tobytes())
+        yield _chunk_batch(chunk, None, None, None, None, None, count.astype(np.uint32).tobytes())
 
 
-def _chunk_batch(chunk, doc_ids, size, half, sig, count) -> pa.RecordBatch:
+def _chunk_batch(chunk, doc_ids, size, half, sig, mark, count) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array([chunk], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64())), *(pa.array([x], pa.binary()) for x in (size, half, sig, count))],
-        names=["chunk", "doc_ids", "size", "half", "sig", "count"],
+        [pa.array([chunk], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64())), *(pa.array([x], pa.binary()) for x in (size, half, sig, mark, count))],
+        names=["chunk", "doc_ids", "size", "half", "sig", "mark", "count"],
     )
 
 
 def _alive(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     """Documents of a chunk, with whether the summed counts leave room for a link."""
     head = rows[rows["doc_ids"].notna()].iloc[0]
-    size, half, sig = (np.frombuffer(head[c], np.int64) for c in ("size", "half", "sig"))
+    size, half, sig, mark = (np.frombuffer(head[c], np.int64) for c in ("size", "half", "sig", "mark"))
     count = np.zeros(len(size), np.int64)
     for data in rows["count"].dropna():
         count += np.frombuffer(data, np.uint32)
     spare = size - -(-THRESHOLD * size // 100)
-    return pd.DataFrame({"doc_id": pd.array(head["doc_ids"], "Int64"), "n": size, "sig": sig, "alive": (size > 0) & (count >= half - spare) & ((count > 0) | (half <= spare))})
+    return pd.DataFrame({"doc_id": pd.array(head["doc_ids"], "Int64"), "n": size, "sig": sig, "mark": mark, "alive": (size > 0) & (count >= half - spare) & ((count > 0) | (half <= spare))})
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,18 +160,22 @@ def _needed(n: Column) -> Column:
     return F.ceil(F.lit(THRESHOLD) * n / 100).cast("bigint")
 
 
-def _prefixes(sets: DataFrame) -> DataFrame:
-    """gram, sig, n, at, rank: the rarest n-grams of each set, with how central the set is."""
+def _ordered(sets: DataFrame) -> DataFrame:
+    """sig, n, central and the set's shared n-grams (df, gram) in the global order: rare ones first, ties by hash.
+
+    N-grams of one set alone come before them; only their number, n less the size, matters.
+    """
     rows = sets.select("sig", "n", F.explode("grams").alias("gram"))
-    counted = materialise(rows.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
-    # n-grams of one set only come first in the order and propose nothing; only their number matters
-    shared = rows.join(counted, "gram").groupBy("sig", "n").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("grams"), F.avg("df").alias("central"))
-    shared = shared.withColumn("alone", F.col("n") - F.size("grams"))
+    counted = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    return rows.join(counted, "gram").groupBy("sig", "n").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("grams"), F.avg("df").alias("central"))
+
+
+def _prefixes(ordered: DataFrame) -> DataFrame:
+    """gram, sig, n, rank, at: the rarest n-grams of each set, with how central the set is."""
+    rows = ordered.withColumn("alone", F.col("n") - F.size("grams"))
     room = F.col("n") - _needed(F.col("n")) + 1 - F.col("alone")
-    shared = shared.where(room > 0).select("sig", "n", "alone", F.struct("central", "sig").alias("rank"), F.slice("grams", F.lit(1), room.cast("int")).alias("grams"))
-    return shared.select("sig", "n", "rank", F.posexplode("grams").alias("at", "g"), "alone").select(
-        F.col("g.gram").alias("gram"), "sig", "n", "rank", (F.col("at") + F.col("alone")).alias("at")
-    )
+    rows = rows.where(room > 0).select("sig", "n", "alone", F.struct("central", "sig").alias("rank"), F.slice("grams", F.lit(1), room.cast("int")).alias("grams"))
+    return rows.select("sig", "n", "rank", F.posexplode("grams").alias("at", "g"), "alone").select(F.col("g.gram").alias("gram"), "sig", "n", "rank", (F.col("at") + F.col("alone")).alias("at"))
 
 
 def _may_link(a: str, b: str) -> Column:
@@ -175,68 +183,114 @@ def _may_link(a: str, b: str) -> Column:
     return (F.col(a) * THRESHOLD <= F.col(b) * 100) & (F.col(b) * THRESHOLD <= F.col(a) * 100)
 
 
-def _verified(pairs: DataFrame, segments: DataFrame) -> DataFrame:
-    """Pairs (a, b) that link: overlaps are counted in each fragment and summed per pair."""
-    left = segments.select(F.col("sig").alias("a"), F.col("n").alias("na"), "frag", F.col("grams").alias("ga"))
-    right = segments.select(F.col("sig").alias("b"), F.col("n").alias("nb"), "frag", F.col("grams").alias("gb"))
-    partial = pairs.join(left, "a").join(right, ["b", "frag"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).alias("k"))
-    both = partial.groupBy("a", "b").agg(F.sum("k").alias("k"), F.max("na").alias("na"), F.max("nb").alias("nb"))
-    return both.where(F.col("k") * 100 >= THRESHOLD * (F.col("na") + F.col("nb") - F.col("k"))).select("a", "b")
+def _segments(ordered: DataFrame) -> DataFrame:
+    """sig, n, and for each fragment k of the order the set's n-grams in it (g0, g1, ...) and their number (s0, ...)."""
+    cuts = [0, *PIVOTS, (1 << 62)]
+    parts = [F.expr(f"transform(filter(grams, x -> x.df > {lo} and x.df <= {hi}), x -> x.gram)") for lo, hi in zip(cuts, cuts[1:], strict=False)]
+    rows = ordered.select("sig", "n", *(p.alias(f"g{k}") for k, p in enumerate(parts)))
+    return rows.select("*", *(F.size(f"g{k}").alias(f"s{k}") for k in range(len(parts))))
 
 
-def _roots(prefixes: DataFrame, links: DataFrame) -> DataFrame:
-    """sig and root of the sets of ``prefixes``: any two sets of one root are joined by verified links."""
-    labels = components(links)
-    return prefixes.select("sig").distinct().join(labels, "sig", "left").select("sig", F.coalesce("label", "sig").alias("root"))
+def _verified(pairs: DataFrame, segments: DataFrame) -> DataFrame:
+    """Pairs (a, b) that link.  Overlaps are counted in each fragment and summed per pair, the rare fragment first;
+    a fragment is not looked at once the sum and all that is left cannot reach the similarity."""
+    parts = range(len(PIVOTS) + 1)
+    side = lambda c: segments.select(F.col("sig").alias(c), *(F.col(x).alias(f"{x}{c}") for x in ("n", *(f"g{k}" for k in parts), *(f"s{k}" for k in parts))))
+    rows = pairs.join(side("a"), "a").join(side("b"), "b")
+    total = F.lit(0)
+    for k in parts:
+        left = sum((F.least(f"s{j}a", f"s{j}b") for j in parts if j > k), F.lit(0))
+        total = total + F.size(F.array_intersect(f"g{k}a", f"g{k}b"))
+        rows = rows.withColumn(f"k{k}", total)
+        most = F.col(f"k{k}") + left
+        total = F.col(f"k{k}")
+        rows = rows.where(most * 100 >= THRESHOLD * (F.col("na") + F.col("nb") - most))
+    return rows.select("a", "b")
+
+
+def _together(df: DataFrame) -> DataFrame:
+    """A small written table in one partition: what follows then takes one task instead of an exchange."""
+    return df.coalesce(1) if df.count() <= SMALL_ROWS else df
+
+
+def _proposed(postings: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of a leader and each set of another root beside it.
+
+    First one leader for each n-gram, the most central set; later the sets of an n-gram are dealt to groups of about
+    PARTNERS by a hash that differs by n-gram and turn, each with a leader of its own.
+    """
+    if turn:
+        size = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("k"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("gram", "k")
+        own = postings.join(size, "gram").withColumn("group", F.pmod(F.xxhash64("gram", "sig", F.lit(turn)), F.ceil(F.col("k") / PARTNERS).cast("bigint")))
+    else:
+        own = postings.withColumn("group", F.lit(0).cast("bigint"))
+    keys = ["gram", "group"]
+    leaders = own.groupBy(*keys).agg(F.max(F.struct("rank", "n", "root")).alias("top"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    beside = own.join(leaders.select(*keys, "top"), keys).where((F.col("root") != F.col("top.root")) & _may_link("n", "top.n"))
+    return beside.select(F.least("sig", F.col("top.rank.sig")).alias("a"), F.greatest("sig", F.col("top.rank.sig")).alias("b")).distinct()
 
 
 def similar_sets(sets: DataFrame) -> DataFrame:
-    """Verified links (a, b) that connect all linked sets of ``sets`` (sig, n, grams), one row for each set."""
-    segments = materialise(
-        sets.select("sig", "n", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1)), lambda f: F.filter("grams", lambda g: F.pmod(F.shiftrightunsigned(g, 40), F.lit(FRAGMENTS)) == f))).alias("frag", "grams")).where(F.size("grams") > 0)
-    )
-    prefixes = materialise(_prefixes(sets))
-    links = tried = None
+    """sig and label of every set of ``sets`` (sig, n, grams; one row for each set) that is linked with another."""
+    ordered = materialise(_ordered(sets))
+    segments, prefixes = materialise(_segments(ordered)), _together(materialise(_prefixes(ordered)))
     postings = prefixes.withColumn("root", F.col("sig"))
-    for _ in range(STAR_ROUNDS):
-        # within each n-gram and beside its leader's root: the leader is the most central set
-        leaders = postings.groupBy("gram").agg(F.max(F.struct("rank", "n", "root")).alias("top"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-        pairs = postings.join(leaders.select("gram", "top"), "gram").where(F.col("root") != F.col("top.root")).select(F.col("top.rank.sig").alias("a"), F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("top.n").alias("na"))
-        pairs = pairs.where(_may_link("na", "nb")).select("a", "b").distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = materialise(pairs)
-        found = materialise(_verified(pairs, segments))
-        links = found if links is None else links.unionByName(found)
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        roots = materialise(_roots(prefixes, links))
-        postings = materialise(prefixes.join(roots, "sig"))
-    open_grams = postings.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("gram")
-    rest = postings.join(open_grams, "gram", "left_semi")
-    other = rest.select("gram", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("at").alias("jb"))
-    pairs = rest.select("gram", F.col("sig").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("at").alias("ja")).join(other, "gram")
+    labels = tried = None
+    for turn in range(TURNS):
+        pairs = _proposed(postings, turn)
+        pairs = _together(materialise(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")))
+        tried = pairs if tried is None else _together(materialise(tried.unionByName(pairs)))
+        found = _verified(pairs, segments)
+        links = found if labels is None else found.unionByName(labels.select(F.col("sig").alias("a"), F.col("label").alias("b")))
+        labels = _together(materialise(_labels(contracted(links, 2))))
+        postings = _together(materialise(prefixes.join(labels, "sig", "left").withColumn("root", F.coalesce("label", "sig")).drop("label")))
+    split = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("k"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("gram", "k")
+    rest = postings.join(split, "gram")
+    # sets of one large group share many common n-grams: a pair is made at the first of these, in the
+    # global order, that both hold
+    common = rest.where(F.col("k") >= COMMON).groupBy("sig").agg(F.slice(F.array_sort(F.collect_list(F.struct("at", "gram"))), 1, MOST_COMMON).alias("common"))
+    rest = rest.join(common, "sig", "left").withColumn("earlier", F.expr("coalesce(transform(filter(common, x -> x.at < at), x -> x.gram), cast(array() as array<bigint>))"))
+    rest = _together(materialise(rest.select("gram", "sig", "n", "root", "at", "earlier")))
+    other = rest.select("gram", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("at").alias("jb"), F.col("earlier").alias("eb"))
+    pairs = rest.select("gram", F.col("sig").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("at").alias("ja"), F.col("earlier").alias("ea")).join(other, "gram")
     least = F.ceil(F.lit(THRESHOLD) * (F.col("na") + F.col("nb")) / (100 + THRESHOLD))
-    pairs = pairs.where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _may_link("na", "nb") & (F.least(F.col("na") - F.col("ja"), F.col("nb") - F.col("jb")) >= least))
-    done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = pairs.select("a", "b").distinct().join(done, ["a", "b"], "left_anti")
-    return links.unionByName(materialise(_verified(materialise(pairs), segments)))
+    pairs = pairs.where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _may_link("na", "nb") & (F.least(F.col("na") - F.col("ja"), F.col("nb") - F.col("jb")) >= least) & ~F.arrays_overlap("ea", "eb"))
+    pairs = materialise(pairs.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
+    return components(_verified(pairs, segments).unionByName(labels.select(F.col("sig").alias("a"), F.col("label").alias("b"))))
 
 
-def components(links: DataFrame) -> DataFrame:
-    """sig and label (the smallest sig of the component) of every set with a link: alternating star contractions."""
-    edges = materialise(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    before = None
-    while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+def contracted(links: DataFrame, steps: int | None = None) -> DataFrame:
+    """Edges (u, v), v < u, that join the same sets as ``links`` do: alternating star contractions.
+
+    ``steps`` contractions, or as many as it takes until each u has one v, the smallest of its component.
+    """
+    edges = _together(materialise(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()))
+    done = 0
+    while steps is None or done < steps:
+        both = edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e"))
-        edges = materialise(small.select("e.u", "e.v").where("u <> v").distinct())
-        state = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if state == before:
-            return edges.select(F.col("u").alias("sig"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("sig"), F.col("v").alias("label")).distinct())
-        before = state
+        edges = _together(materialise(small.select("e.u", "e.v").where("u <> v").distinct()))
+        done += 1
+        if steps is None:
+            # a forest of stars: nothing is both a leaf and a centre, and no leaf has two centres
+            roles = edges.select(F.explode(F.array(F.struct(F.col("u").alias("sig"), F.lit(1).alias("leaf"), F.lit(0).alias("centre")), F.struct(F.col("v").alias("sig"), F.lit(0).alias("leaf"), F.lit(1).alias("centre")))).alias("e"))
+            if roles.groupBy("e.sig").agg(F.sum("e.leaf").alias("leaf"), F.sum("e.centre").alias("centre")).where("leaf > 1 or (leaf > 0 and centre > 0)").isEmpty():
+                break
+    return edges
+
+
+def _labels(edges: DataFrame) -> DataFrame:
+    """sig and label: of a leaf its smallest centre, of a centre that is no leaf itself."""
+    both = edges.select(F.explode(F.array(F.struct(F.col("u").alias("sig"), F.col("v").alias("label")), F.struct(F.col("v").alias("sig"), F.col("v").alias("label")))).alias("e"))
+    return both.groupBy("e.sig").agg(F.min("e.label").alias("label"))
+
+
+def components(links: DataFrame) -> DataFrame:
+    """sig and label (the smallest sig of the component) of every set with a link."""
+    return _labels(contracted(links))
 
 
 def link_documents(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -247,42 +301,51 @@ def link_documents(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -
     are copies; rows that share an id are separate documents.  An empty table gives no rows; other columns are not
     read.
     """
+    return _linked(docs, id, text).select("doc_id", "n_shingles", "component_id")
+
+
+def _mark(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+def _linked(docs: DataFrame, id: str, text: str) -> DataFrame:
+    """doc_id, n_shingles, component_id, label (of the component) and mark (a hash of the text)."""
     spark = docs.sparkSession
     bounded_batches(spark)
     frags = partitions(spark)
-    rows = docs.select(F.col(id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.select(F.col(id).cast("bigint").alias("doc_id"), F.col(text).alias("text"), _mark(text).alias("mark"))
     packed = rows.mapInArrow(_chunks(frags), CHUNK_SCHEMA)
     placed = packed.repartitionById(frags, F.when(F.col("kind") == 1, F.pmod(F.xxhash64("chunk"), F.lit(frags)).cast("int")).otherwise(F.col("frag")))
-    counted = placed.mapInArrow(_shared, "chunk bigint, doc_ids array<bigint>, size binary, half binary, sig binary, count binary")
-    known = materialise(counted.groupBy("chunk").applyInPandas(_alive, "doc_id bigint, n bigint, sig bigint, alive boolean"))
+    counted = placed.mapInArrow(_shared, "chunk bigint, doc_ids array<bigint>, size binary, half binary, sig binary, mark binary, count binary")
+    known = materialise(counted.groupBy("chunk").applyInPandas(_alive, "doc_id bigint, n bigint, sig bigint, mark bigint, alive boolean"))
     classes = materialise(known.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("first_id"), F.max("alive").alias("alive")))
     wanted = classes.where("alive").select(F.col("first_id").alias("wanted_id")).distinct()
     texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi")
     sets = texts.select("text").mapInArrow(_sets, "sig bigint, n bigint, grams array<bigint>")
     sets = sets.join(classes.where("alive").select("sig"), "sig", "left_semi").groupBy("sig").agg(F.first("n").alias("n"), F.first("grams").alias("grams"))
-    links = similar_sets(materialise(sets))
-    labels = materialise(components(links))
+    labels = materialise(similar_sets(materialise(sets)))
     named = materialise(classes.join(labels, "sig", "left").select("sig", "first_id", F.coalesce("label", "sig").alias("label")))
     least = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    member = materialise(named.join(least, "label").select("sig", "component_id"))
-    return known.join(member, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    member = materialise(named.join(least, "label").select("sig", "label", "component_id"))
+    own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return known.join(member, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), "label", "mark")
 
 
 def keep_one(docs: DataFrame, columns: tuple[str, ...], *, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``columns`` of one document for each component: that with the smallest id.
+    """``columns`` of one document for each component: that with the smallest id (null counts as the largest).
 
-    Rows that share the smallest id are told apart by their text, and exact copies of them keep one.  Documents without
-    words are linked with nothing and all stay; so do documents of a component without any id, one of each text.
+    Documents are told apart by id and text, and of rows that repeat both, one is kept.  Documents without words are
+    linked with nothing and all stay.
     """
-    linked = link_documents(docs, id=id, text=text)
-    heads = materialise(linked.where("n_shingles > 0 and component_id is not null and (doc_id is null or doc_id <> component_id)").select(F.col("doc_id").alias("gone")).where("gone is not null").distinct())
-    # a row goes if its id is that of a linked, larger id; what shares a kept id is compared by text
-    rest = docs.join(heads, F.col(id) == F.col("gone"), "left_anti")
-    twice = materialise(rest.groupBy(F.col(id).alias("again")).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("again"))
-    if twice.isEmpty():
+    linked = materialise(_linked(docs, id, text).where("n_shingles > 0"))
+    key = F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "mark")
+    first = materialise(linked.groupBy("label").agg(F.min(key).alias("first")))
+    other = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("mark") == F.col("first.mark")))
+    gone = materialise(linked.join(first, "label").where(other).select(F.col("doc_id").alias("gone"), F.col("mark").alias("gone_mark")).distinct())
+    again = materialise(linked.groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select(F.col("doc_id").alias("gone"), F.col("mark").alias("gone_mark")))
+    mine = F.col(id).cast("bigint").eqNullSafe(F.col("gone")) & (_mark(text) == F.col("gone_mark"))
+    rest = docs.join(gone, mine, "left_anti")
+    if again.isEmpty():
         return rest.select(*columns)
-    single = rest.join(twice, F.col(id).eqNullSafe(F.col("again")), "left_anti").select(*columns)
-    several = rest.join(twice, F.col(id).eqNullSafe(F.col("again")), "left_semi")
-    words = F.size(F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), "[\\x20\\x09-\\x0D]+", -1), ""))
-    empty = several.where(words == 0).select(*columns)
-    return single.unionByName(several.where(words > 0).dropDuplicates([id, text]).select(*columns)).unionByName(empty)
+    several = rest.join(again, mine, "left_semi").dropDuplicates([id, text])
+    return rest.join(again, mine, "left_anti").select(*columns).unionByName(several.select(*columns))
