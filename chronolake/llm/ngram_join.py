@@ -320,7 +320,8 @@ def _linked(docs: DataFrame, id: str, text: str) -> DataFrame:
     known = materialise(counted.groupBy("chunk").applyInPandas(_alive, "doc_id bigint, n bigint, sig bigint, mark bigint, alive boolean"))
     classes = materialise(known.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("first_id"), F.max("alive").alias("alive")))
     wanted = classes.where("alive").select(F.col("first_id").alias("wanted_id")).distinct()
-    texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi")
+    # lists of documents grow with the input: they meet the texts by a merge join at every size, never by broadcast
+    texts = rows.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi")
     sets = texts.select("text").mapInArrow(_sets, "sig bigint, n bigint, grams array<bigint>")
     sets = sets.join(classes.where("alive").select("sig"), "sig", "left_semi").groupBy("sig").agg(F.first("n").alias("n"), F.first("grams").alias("grams"))
     labels = materialise(similar_sets(materialise(sets)))
@@ -344,7 +345,7 @@ def keep_one(docs: DataFrame, columns: tuple[str, ...], *, id: str = "doc_id", t
     gone = materialise(linked.join(first, "label").where(other).select(F.col("doc_id").alias("gone"), F.col("mark").alias("gone_mark")).distinct())
     again = materialise(linked.groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select(F.col("doc_id").alias("gone"), F.col("mark").alias("gone_mark")))
     mine = F.col(id).cast("bigint").eqNullSafe(F.col("gone")) & (_mark(text) == F.col("gone_mark"))
-    rest = docs.join(gone, mine, "left_anti")
+    rest = docs.join(gone.hint("merge"), mine, "left_anti")
     if again.isEmpty():
         return rest.select(*columns)
     several = rest.join(again, mine, "left_semi").dropDuplicates([id, text])
