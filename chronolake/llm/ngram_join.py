@@ -235,15 +235,15 @@ def similar_sets(sets: DataFrame) -> DataFrame:
     ordered = materialise(_ordered(sets))
     segments, prefixes = materialise(_segments(ordered)), _together(materialise(_prefixes(ordered)))
     postings = prefixes.withColumn("root", F.col("sig"))
-    labels = tried = None
+    edges = tried = None
     for turn in range(TURNS):
         pairs = _proposed(postings, turn)
         pairs = _together(materialise(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")))
         tried = pairs if tried is None else _together(materialise(tried.unionByName(pairs)))
         found = _verified(pairs, segments)
-        links = found if labels is None else found.unionByName(labels.select(F.col("sig").alias("a"), F.col("label").alias("b")))
-        labels = _together(materialise(_labels(contracted(links, 2))))
-        postings = _together(materialise(prefixes.join(labels, "sig", "left").withColumn("root", F.coalesce("label", "sig")).drop("label")))
+        # two contractions may leave a set with several centres: labels only spare pairs, the edges keep every link
+        edges = contracted(found if edges is None else found.unionByName(edges.select(F.col("u").alias("a"), F.col("v").alias("b"))), 2)
+        postings = _together(materialise(prefixes.join(_labels(edges), "sig", "left").withColumn("root", F.coalesce("label", "sig")).drop("label")))
     split = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("k"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("gram", "k")
     rest = postings.join(split, "gram")
     # sets of one large group share many common n-grams: a pair is made at the first of these, in the
@@ -256,7 +256,7 @@ def similar_sets(sets: DataFrame) -> DataFrame:
     least = F.ceil(F.lit(THRESHOLD) * (F.col("na") + F.col("nb")) / (100 + THRESHOLD))
     pairs = pairs.where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _may_link("na", "nb") & (F.least(F.col("na") - F.col("ja"), F.col("nb") - F.col("jb")) >= least) & ~F.arrays_overlap("ea", "eb"))
     pairs = materialise(pairs.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
-    return components(_verified(pairs, segments).unionByName(labels.select(F.col("sig").alias("a"), F.col("label").alias("b"))))
+    return components(_verified(pairs, segments).unionByName(edges.select(F.col("u").alias("a"), F.col("v").alias("b"))))
 
 
 def contracted(links: DataFrame, steps: int | None = None) -> DataFrame:

@@ -69,6 +69,30 @@ def test_links_equal_all_pairs(spark, monkeypatch, turns, common):
     assert ngram_join.link_documents(docs(spark, [])).count() == 0
 
 
+def revision_rows(seed):
+    """Families whose links form long chains and trees: sliding windows, and versions made from earlier versions."""
+    rng = random.Random(seed)
+    vocabulary = [f"r{k}" for k in range(5000)]
+    texts = []
+    for _ in range(4):
+        long = [rng.choice(vocabulary) for _ in range(60 + 4 * 40)]
+        texts += [long[4 * k : 4 * k + 60] for k in range(40)]
+        versions = [[rng.choice(vocabulary) for _ in range(100)]]
+        for _ in range(40):
+            w = list(rng.choice(versions[-6:]))
+            w[rng.randrange(len(w))] = rng.choice(vocabulary)
+            versions.append(w)
+        texts += versions
+    rng.shuffle(texts)
+    return [(k, " ".join(w), "en") for k, w in enumerate(texts)]
+
+
+def test_links_of_chains_and_version_trees(spark):
+    rows = revision_rows(11)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.link_documents(docs(spark, rows)).collect())
+    assert got == sorted((i, n, c) for (i, _, _), (n, c) in zip(rows, plain_components(rows), strict=True))
+
+
 def test_components_of_paths_and_cycles(spark):
     edges = [(k, k + 1) for k in range(1, 40)] + [(100, 101), (101, 102), (102, 100)] + [(200, k) for k in range(201, 260)]
     out = {r.sig: r.label for r in ngram_join.components(spark.createDataFrame(edges, "a long, b long")).collect()}
