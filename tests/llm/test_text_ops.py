@@ -116,6 +116,22 @@ def test_kneser_ney_is_a_distribution_and_tells_languages_apart(spark):
     assert {r.lang_pred for r in langid.identify(docs(spark), F.lit(False)).collect()} == {"und"}
 
 
+def test_language_models_keep_every_gram_and_calibrate_rare_languages(spark, monkeypatch):
+    signs = np.random.default_rng(1).integers(0x4E00, 0x9F00, (60, 10_000))
+    rows = [(k, "".join(map(chr, own)), "zh") for k, own in enumerate(signs)] + [(100 + k, f"the river and the stone {k}", "en") for k in range(340)] + [(500 + k, f"das licht {k} am fluss", "de") for k in range(6)]
+    model = langid.train_model(docs(spark, rows).select("text", "lang"))
+    keys = {x: np.unique(langid.grams([t for _, t, own in rows if own == x])[0]) for x in ("de", "en", "zh")}
+    assert model.langs == ["de", "en", "zh"] and len(keys["zh"]) > 1 << 19
+    for order in range(1, 5):
+        want = np.unique(np.concatenate(list(keys.values())) & np.uint64((1 << 16 * order) - 1))
+        assert len(model.grams[order - 1].order) == len(want) and (model.grams[order - 1].find(want) >= 0).all()
+    seen, calibrate = [], langid.calibrate
+    monkeypatch.setattr(langid, "CALIBRATION_DOCS", 18)
+    monkeypatch.setattr(langid, "calibrate", lambda model, sample: seen.extend(r.lang for r in sample.collect()) or calibrate(model, sample))
+    langid.identify(docs(spark, rows[60:]), F.lit(True))
+    assert seen.count("de") == 6 and 0 < seen.count("en") < 80
+
+
 def test_token_files_equal_whole_encoding(spark, tmp_path):
     from tokenizers import Tokenizer
 
