@@ -104,20 +104,21 @@ class Matcher:
                         break
             if best <= budget:
                 out.append((item, best))
-        return sorted(out)
+        return sorted(out, key=lambda x: (x[0] is None, x[0] or 0, x[1]))
 
 
 def flag_documents(docs: DataFrame, benchmark: DataFrame, *, id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", carry: tuple[str, ...] = (), per_error: int = PER_ERROR, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, contaminated, items, distances and the columns ``carry``, one row per document.
 
     ``items`` lists the benchmark items found, ascending, with the edit distance of each.  A benchmark larger than
-    ``block_chars`` is searched for in blocks, one pass each.  Null and empty texts hold nothing; items that are null
-    or empty once cleaned are found nowhere; items of one id count once, with the least distance; null ids and repeated rows
-    stay; empty tables give no rows or no hits.
+    ``block_chars`` is searched for in blocks, one pass each.  Null and empty texts hold nothing; items whose text
+    is null, or empty once cleaned, are found nowhere; items of one id count once, with the least distance; items without
+    an id make a document contaminated but are not listed; documents' null ids and repeated rows stay; empty tables give no
+    rows or no hits.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    bench = benchmark.select(F.col(item_id).cast("bigint").alias("i"), F.col(item_text).alias("t")).where("i is not null and length(t) > 0")
+    bench = benchmark.select(F.col(item_id).cast("bigint").alias("i"), F.col(item_text).alias("t")).where("length(t) > 0")
     chars = bench.agg(F.sum(F.length("t")).alias("n")).first()["n"] or 0
     blocks = max(1, -(-chars // block_chars))
     rows = docs.select(F.col(id).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.array().cast("array<struct<item:bigint,distance:int>>").alias("found"), *(F.col(c).alias(f"carried_{k}") for k, c in enumerate(carry)))
@@ -128,7 +129,7 @@ def flag_documents(docs: DataFrame, benchmark: DataFrame, *, id: str = "doc_id",
         matcher = _Shipped([x for x in items if x[1]], per_error)
         rows = rows.mapInArrow(_search(matcher, rows.schema.names), rows.schema)
     # an item may be listed twice if its id stands for two texts
-    best = F.map_from_entries(F.array_sort(F.transform(F.array_distinct(F.transform("found", lambda x: x["item"])), lambda i: F.struct(i.alias("item"), F.array_min(F.transform(F.filter("found", lambda x: x["item"] == i), lambda x: x["distance"])).alias("distance")))))
+    best = F.map_from_entries(F.array_sort(F.transform(F.array_distinct(F.transform(F.filter("found", lambda x: x["item"].isNotNull()), lambda x: x["item"])), lambda i: F.struct(i.alias("item"), F.array_min(F.transform(F.filter("found", lambda x: x["item"] == i), lambda x: x["distance"])).alias("distance")))))
     out = rows.withColumn("best", best)
     return out.select("doc_id", (F.size("found") > 0).alias("contaminated"), F.map_keys("best").alias("items"), F.map_values("best").alias("distances"), *(F.col(a).alias(c) for a, c in zip(kept, carry, strict=True)))
 

@@ -181,6 +181,15 @@ def test_edit_matches_equal_full_distance(spark):
     assert decontaminate.flag_documents(docs(spark, rows), bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_items_without_an_id_are_searched(spark):
+    passage, other = "a stone lies beside the green river", "seven clouds over one small table"
+    rows = [(1, f"first {passage} last", "en"), (2, "nothing of it", "en"), (3, f"{passage} and {other}", "en")]
+    bench = spark.createDataFrame([(None, passage), (7, other), (None, None), (None, "...")], "item_id long, text string")
+    for limit in (1 << 20, 40):
+        out = {r.doc_id: (r.contaminated, r.items, r.distances) for r in decontaminate.flag_documents(docs(spark, rows), bench, block_chars=limit).collect()}
+        assert out == {1: (True, [], []), 2: (False, [], []), 3: (True, [7], [0])}
+
+
 def test_compaction_keeps_rows_and_versions(spark, tmp_path):
     df = docs(spark, [*ODD, *((k, f"text {k} " * 50, "en") for k in range(300, 700))]).repartition(6)
     store = compaction.ingest(df, str(tmp_path / "s"), F.pmod(F.col("doc_id"), F.lit(5)), 5, target_bytes=40_000, least_bytes=2_000)
