@@ -7,6 +7,7 @@ small enough that a reader of a few documents, or of metadata alone, skips the r
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 
@@ -16,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .ragged import Runs, crc32_runs
+from .ragged import Runs, crc32_runs, gather
 from .text import buffers, slices, span_hashes
 from .workspace import bounded_batches, partitions, shared_dir
 
@@ -73,22 +74,41 @@ def chunk_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, ends, head, np.searchsorted(starts, offsets)
 
 
+def cuttable(file: dict) -> bool:
+    """Whether a tokenizer file has the pre-tokenizer that ``chunk_spans`` and ``SIGNS`` are made for."""
+    pre, model = file.get("pre_tokenizer") or {}, file.get("model") or {}
+    return (
+        file.get("normalizer") is None and file.get("truncation") is None and file.get("padding") is None
+        and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+        and model.get("type") == "BPE" and not model.get("dropout") and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix")
+        and all(chr(c) in model["vocab"] for c in np.flatnonzero(SIGNS).tolist())
+        and all(t["content"] and " " not in t["content"] for t in file.get("added_tokens", []))
+    )
+
+
 class TextEncoder:
-    """Token ids of whole texts; each distinct chunk between safe spaces is encoded once."""
+    """Token ids of whole texts, as the library gives them; each distinct chunk between safe spaces is encoded once.
+
+    A text that holds the string of an added token is left to the library whole, for it splits such strings off
+    before anything else; so is every text if the file has another pre-tokenizer than the one the cuts are for.
+    """
 
     def __init__(self, tokenizer: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; more threads only take memory
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(tokenizer)
-        self.model.encode_special_tokens = True  # their strings in a text are ordinary text
+        with open(tokenizer, encoding="utf-8") as f:
+            file = json.load(f)
+        self.cuttable = cuttable(file)
+        self.added = [t["content"].encode() for t in file.get("added_tokens", [])]
         vocabulary = self.model.get_vocab()
         self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes of each id: a character stands for one
         for token, i in vocabulary.items():
             self.width[i] = len(token)
         self.signs = np.zeros(256, np.int32)
         for c in np.flatnonzero(SIGNS).tolist():
-            self.signs[c] = vocabulary[chr(c)]
+            self.signs[c] = vocabulary.get(chr(c), 0)
         self.hashes, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted by hash
         self.young = (self.hashes, self.numbers)
         self.runs = Runs(np.int32)
@@ -145,8 +165,44 @@ class TextEncoder:
                 at += len(ids)
         self.runs.add(np.concatenate(flats), starts, lengths)
 
+    def _whole(self, data: bytes, offsets: np.ndarray) -> np.ndarray:
+        """Numbers of the texts that must not be cut."""
+        if not self.cuttable:
+            return np.arange(len(offsets) - 1)
+        found = set()
+        for token in self.added:
+            at = data.find(token)
+            while at >= 0:
+                doc = int(np.searchsorted(offsets, at, "right")) - 1
+                if at + len(token) <= offsets[doc + 1]:
+                    found.add(doc)
+                    at = data.find(token, int(offsets[doc + 1]))
+                else:  # across the border of two texts
+                    at = data.find(token, at + 1)
+        return np.array(sorted(found), np.int64)
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and the number of each."""
+        raw = data.tobytes()
+        whole = self._whole(raw, offsets)
+        if not len(whole):
+            return self._encode_cut(data, offsets)
+        n = len(offsets) - 1
+        cut = np.setdiff1d(np.arange(n), whole)
+        sizes, flats = np.zeros(n, np.int64), []
+        lengths = np.diff(offsets)[cut]
+        flat, sizes[cut] = self._encode_cut(gather(data, offsets[:-1][cut], lengths), np.concatenate([[0], np.cumsum(lengths)]))
+        flats.append(flat)
+        for doc in whole.tolist():  # one at a time: a very long text is encoded alone
+            ids = np.array(self.model.encode(raw[offsets[doc] : offsets[doc + 1]].decode(), add_special_tokens=False).ids, np.int64)
+            sizes[doc] = len(ids)
+            flats.append(ids)
+        order = np.concatenate([cut, whole])
+        starts = np.zeros(n, np.int64)
+        starts[order] = np.cumsum(sizes[order]) - sizes[order]
+        return gather(np.concatenate(flats), starts, sizes), sizes
+
+    def _encode_cut(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if len(self.runs.lengths) > MOST or len(self.runs.flat) > 8 * MOST:
             self._shrink()
         starts, ends, head, cuts = chunk_spans(data, offsets)
@@ -188,8 +244,10 @@ def encoder(tokenizer: str) -> TextEncoder:
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, *, end_id: int, id: str = "doc_id", text: str = "text", files: int | None = None) -> None:
     """Encodes every document, appends ``end_id``, and writes ``files`` files of consecutive document ids.
 
-    Null and empty texts hold the end id alone; null ids come first; rows with the same id stay next to each other;
-    an empty table writes no rows; other columns are not read.
+    Ids are those of the library's own call on the whole text, strings of added tokens included.  Null and empty
+    texts hold the end id alone; null ids come first; rows with the same id stay next to each other, in the order of
+    a hash of their texts, and may fill several files; a very long text is one row, encoded chunk by chunk; an empty
+    table writes no rows; other columns are not read.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -213,7 +271,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, *, end_id: int
             before += int(ends[-1])
 
     rows = docs.select(F.col(id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    placed = rows.repartitionByRange(files or partitions(spark), "doc_id").sortWithinPartitions("doc_id")
+    placed = rows.repartitionByRange(files or partitions(spark), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     out = placed.mapInArrow(encode, "shard int, doc_id bigint, local_start bigint, n_tokens bigint, ids array<int>").write
     for key, value in FILES.items():
         out = out.option(key, value)
