@@ -111,12 +111,14 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     or (n_lines >= 4 and n_dup_lines * 2 > n_lines) or letters * 2 < word_chars or (n_words >= 50 and kinds * 10 < n_words)) as kept
 from f""",
     "op3_compaction": "select doc_id, lang, source, n_chars, md5(text) as text_md5 from documents",
-    "op10_url_reputation": r"""
+    "op10_url_reputation": rf"""
 with parts as (
-  select page_id, case when contains(url, '://') then substr(url, strpos(url, '://') + 3) end as rest from pages),
+  select page_id, case when contains(url, '://') then substr(url, strpos(url, '://') + 3) end as rest,
+    regexp_replace(regexp_replace(regexp_replace(html, '{url_reputation.MARKUP}', ' ', 'g'), '{url_reputation.SIGN_ENTITIES}', '&', 'g'), '{url_reputation.ENTITIES}', ' ', 'g') as text from pages),
 named as (
   select page_id, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
-         coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') as path from parts),
+         coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') as path,
+         len(regexp_extract_all(text, '{url_reputation.WORDS}')) as words, len(regexp_extract_all(text, '{url_reputation.SIGNS}')) as signs from parts),
 ruled as (
   select *, case
     when (host = 'example.org' or ends_with(host, '.example.org')) and starts_with(path, '/en/1') then 'example.org/en/1'
@@ -124,33 +126,35 @@ ruled as (
     when (host = 'com' or ends_with(host, '.com')) and starts_with(path, '/de/') then 'com/de/'
     when (host = 'com' or ends_with(host, '.com')) and starts_with(path, '/fr/') then 'com/fr/'
     when (host = 'org' or ends_with(host, '.org')) and starts_with(path, '/') then 'org/' end as rule,
-    case when regexp_matches(host, '(^|[-.])(adult|bets|casino|loans|pills|poker|porn|spam|viagra|xxx)([-.]|$)') then 1.0 else 0.0 end as bad
+    case when words > 0 then case when signs * 5 > words then 1.0 else 0.0 end end as bad
   from named),
 hosts as (
-  select host, regexp_extract(host, '([^.]*\.)?[^.]*$') as domain, regexp_extract(host, '[^.]*$') as suffix, count(*)::double as n, sum(bad)::double as b
+  select host, case when regexp_matches(host, '{url_reputation.LONG_SUFFIX}') then regexp_extract(host, '([^.]*[.])?[^.]*[.][^.]*$') else regexp_extract(host, '([^.]*[.])?[^.]*$') end as domain,
+    case when regexp_matches(host, '{url_reputation.LONG_SUFFIX}') then regexp_extract(host, '[^.]*[.][^.]*$') else regexp_extract(host, '[^.]*$') end as suffix,
+    count(bad)::double as n, coalesce(sum(bad), 0)::double as b
   from ruled group by 1),
 total as (select (coalesce(sum(b), 0) + 0.5) / (coalesce(sum(n), 0) + 1) as rate from hosts),
 s0 as (select suffix, sum(n) as n, sum(b) as b, any_value(rate) as prior from hosts, total group by 1),
 sk as (select sum(n * pow(b / n - m, 2)) as between_, sum(m * (1 - m)) as noise, sum(n * m * (1 - m)) as spread
-       from (select *, least(greatest(prior, 1e-6), 1 - 1e-6) as m from s0)),
+       from (select *, least(greatest(prior, 1e-6), 1 - 1e-6) as m from s0 where n > 0)),
 sv as (select case when spread is null or spread <= noise then 2.0 when between_ <= noise then 1e4
        else least(1e4, greatest(0.5, (spread - noise) / (between_ - noise) - 1)) end as k from sk),
 s1 as (select suffix, (prior * k + b) / (n + k) as mean from s0, sv),
 d0 as (select domain, d.n, d.b, s1.mean as prior from (select domain, suffix, sum(n) as n, sum(b) as b from hosts group by 1, 2) d join s1 using (suffix)),
 dk as (select sum(n * pow(b / n - m, 2)) as between_, sum(m * (1 - m)) as noise, sum(n * m * (1 - m)) as spread
-       from (select *, least(greatest(prior, 1e-6), 1 - 1e-6) as m from d0)),
+       from (select *, least(greatest(prior, 1e-6), 1 - 1e-6) as m from d0 where n > 0)),
 dv as (select case when spread is null or spread <= noise then 2.0 when between_ <= noise then 1e4
        else least(1e4, greatest(0.5, (spread - noise) / (between_ - noise) - 1)) end as k from dk),
 d1 as (select domain, (prior * k + b) / (n + k) as mean from d0, dv),
 h0 as (select host, hosts.n, hosts.b, d1.mean as prior from hosts join d1 using (domain)),
 hk as (select sum(n * pow(b / n - m, 2)) as between_, sum(m * (1 - m)) as noise, sum(n * m * (1 - m)) as spread
-       from (select *, least(greatest(prior, 1e-6), 1 - 1e-6) as m from h0)),
+       from (select *, least(greatest(prior, 1e-6), 1 - 1e-6) as m from h0 where n > 0)),
 hv as (select case when spread is null or spread <= noise then 2.0 when between_ <= noise then 1e4
        else least(1e4, greatest(0.5, (spread - noise) / (between_ - noise) - 1)) end as k from hk),
 h1 as (select host, (prior * k + b) / (n + k) as mean, n + k as w from h0, hv)
 select page_id, host, path, rule,
   case when rule in ('org/', 'com/fr/') then 'allow' when rule is not null then 'block'
-       when greatest(0.0, mean - 1.64 * sqrt(mean * (1 - mean) / (w + 1))) >= 0.5 then 'block' else 'allow' end as verdict
+       when greatest(0.0, mean - 1.64 * sqrt(mean * (1 - mean) / (w + 1))) >= 0.2 then 'block' else 'allow' end as verdict
 from ruled join h1 using (host)""",
 }
 
