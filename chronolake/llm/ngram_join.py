@@ -336,7 +336,7 @@ def keep_one(docs: DataFrame, columns: tuple[str, ...], *, id: str = "doc_id", t
     """``columns`` of one document for each component: that with the smallest id (null counts as the largest).
 
     Documents are told apart by id and text, and of rows that repeat both, one is kept.  Documents without words are
-    linked with nothing and all stay.
+    linked with nothing and all stay.  Other columns may have any name.
     """
     linked = materialise(_linked(docs, id, text).where("n_shingles > 0"))
     key = F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "mark")
@@ -344,9 +344,11 @@ def keep_one(docs: DataFrame, columns: tuple[str, ...], *, id: str = "doc_id", t
     other = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("mark") == F.col("first.mark")))
     gone = materialise(linked.join(first, "label").where(other).select(F.col("doc_id").alias("gone"), F.col("mark").alias("gone_mark")).distinct())
     again = materialise(linked.groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select(F.col("doc_id").alias("gone"), F.col("mark").alias("gone_mark")))
-    mine = F.col(id).cast("bigint").eqNullSafe(F.col("gone")) & (_mark(text) == F.col("gone_mark"))
-    rest = docs.join(gone.hint("merge"), mine, "left_anti")
+    # the caller's columns travel in a struct, where no name can clash
+    rows = docs.select(F.col(id).cast("bigint").alias("own_id"), _mark(text).alias("own_mark"), F.struct(*(F.col(c) for c in columns)).alias("kept"))
+    mine = F.col("own_id").eqNullSafe(F.col("gone")) & (F.col("own_mark") == F.col("gone_mark"))
+    rest = rows.join(gone.hint("merge"), mine, "left_anti")
     if again.isEmpty():
-        return rest.select(*columns)
-    several = rest.join(again, mine, "left_semi").dropDuplicates([id, text])
-    return rest.join(again, mine, "left_anti").select(*columns).unionByName(several.select(*columns))
+        return rest.select("kept.*")
+    several = rest.join(again, mine, "left_semi").dropDuplicates(["own_id", "own_mark"])
+    return rest.join(again, mine, "left_anti").unionByName(several).select("kept.*")

@@ -107,6 +107,13 @@ def test_keep_one_of_each_group(spark):
     assert [x for x in got if not x[1]] == [(5, ""), (5, ""), (6, "")]
 
 
+def test_keep_one_with_clashing_names(spark):
+    a = " ".join(f"x{k}" for k in range(30))
+    rows = docs(spark, [(1, a, "en"), (2, a, "en"), (2, a, "en"), (3, "b c d e f g", "en"), (3, "b c d e f g", "en")])
+    got = ngram_join.keep_one(rows, tuple(rows.columns))
+    assert got.columns == rows.columns and sorted((r.doc_id, r.gone, r.gone_mark) for r in got.collect()) == [(1, "clash", "clash"), (3, "clash", "clash")]
+
+
 def test_quality_counts_and_order(spark):
     line = "same line of words here to repeat"
     rows = [*ODD, (30, "\n".join([line] * 4 + ["other words stand in this one"]), "en"), (31, "# $ % & " * 20, "en"), (32, " ".join(f"plain{k}" for k in range(50)), "en")]
@@ -137,16 +144,43 @@ def test_neighbours_vote(spark):
     bad = [(k, " ".join(rng.choice(["RIVER!!", "STONE%%", "LIGHT**"]) for _ in range(30)), "en") for k in range(60, 120)]
     df = docs(spark, good + bad + [(200, None, "en"), (None, "river stone", "en")])
     labels = spark.createDataFrame([(k, int(k < 60)) for k in range(120)] + [(3, None)], "doc_id long, quality int")
-    out = {r.doc_id: r for r in knn_quality.score_quality(df, labels.where(fold(5) != 0), carry=("text2",)).collect()}
-    assert all(out[k].predicted == (k < 60) for k in range(120)) and 0 <= out[200].score <= 1 and out[1].text2 == "clash"
+    out = {r.doc_id: r for r in knn_quality.score_quality(df, labels.where(fold(5) != 0), carry=("label", "x")).collect()}
+    assert all(out[k].predicted == (k < 60) for k in range(120)) and 0 <= out[200].score <= 1 and out[1].label == out[1].x == "clash"
     assert {r.score for r in knn_quality.score_quality(df, labels.limit(0)).collect()} == {0.0}
-    x = knn_quality.features(*text.buffers(pa.array([t for _, t, _ in good[:20]])))
-    space = knn_quality.Space(x, np.arange(20) % 2)
-    v = space.unit((x * space.weight) @ space.axes)
-    for k in range(3):
-        near = sorted(range(20), key=lambda j: -float(v[k] @ v[j]))[: knn_quality.NEIGHBOURS]
-        w = np.maximum(0, v[k] @ v[near].T) ** 8
-        assert abs(space.scores(x[k : k + 1])[0] - (w * (np.array(near) % 2)).sum() / w.sum()) < 1e-4
+    data = text.buffers(pa.array([t for _, t, _ in good[:20]]))
+    axes = knn_quality.Axes(*knn_quality.terms(*data), 20)
+    v = axes.vectors(*data)
+    voters = knn_quality.Neighbours(v, np.arange(20) % 2)
+    sim = np.round(v @ voters.vectors.astype(np.float64).T, knn_quality.DIGITS)
+    for k in range(20):
+        near = sorted(range(20), key=lambda j: -sim[k, j])[: knn_quality.NEIGHBOURS]
+        if sim[k, near[-1]] > sorted(sim[k])[-len(near) - 1]:  # no tie at the last place
+            w = np.maximum(0, sim[k, near]) ** 8
+            assert abs(voters.scores(v[k : k + 1])[0] - (w * (np.array(near) % 2)).sum() / w.sum()) < 1e-6
+
+
+def test_neighbours_that_tie_share_the_last_places():
+    e = np.eye(3)
+    labels = np.array([1] * 5 + [1, 0] * 20 + [0] * 10)
+    voters = knn_quality.Neighbours(np.concatenate([np.repeat(e[:1], 5, 0), np.repeat(knn_quality.unit(e[:1] + e[1:2]), 40, 0), np.repeat(e[2:], 10, 0)]), labels)
+    w = 0.5**4  # of a similarity of 45 degrees
+    want = (5 + 10 * w / 2) / (5 + 10 * w)
+    order = np.random.default_rng(1).permutation(55)
+    again = knn_quality.Neighbours(voters.vectors[order], labels[order])
+    for some in (voters, again):
+        assert np.allclose(some.scores(e[:1]), want, atol=1e-5)
+        assert some.scores(np.concatenate([e, e[:1], np.zeros((1, 3))])).tolist() == [some.scores(e[k : k + 1])[0] for k in (0, 1, 2, 0)] + [0.0]
+
+
+def test_equal_texts_have_equal_scores(spark):
+    rng = random.Random(4)
+    rows = [(k, " ".join(rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(rng.randint(1, 40))), "en") for k in range(300)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(150)], "doc_id long, quality int")
+    once = {r.doc_id: r.score for r in knn_quality.score_quality(docs(spark, rows), labels).collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    more = docs(spark, rows + [(1000 + i, t, x) for i, t, x in rows[150:]]).repartition(5)
+    for r in knn_quality.score_quality(more, labels).collect():
+        assert r.score == once[r.doc_id % 1000]
 
 
 def test_edit_matches_equal_full_distance(spark):
@@ -211,17 +245,57 @@ def test_compaction_keeps_rows_and_versions(spark, tmp_path):
     assert compaction.ingest(df.limit(0), str(tmp_path / "e"), F.lit(0), 1).read().count() == 0
 
 
+PAGE = "<html><head><title>A &amp; B</title><script>var t = '###';</script><style>p {{ }}</style></head><!-- ## --><body><p>{}</p></body></html>"
+GOOD, BAD = PAGE.format("plain words stand in this good page here"), PAGE.format("free ## win &amp;&amp;&lt;&gt; now !! ** $$ $$")
+
+
 def test_urls_and_reputation(spark):
     urls = ["http://A.Example.org/es/1", "https://x.example.org/en/12?q", "http://example.org/en/2", "http://b.com/fr/", "http://b.com/de/x", "http://b.com/de", "no url", None, "http://org", "http://casino-win.net/a#b", "://h/p", "http://é.COM?x/fr/"]
-    pages = spark.createDataFrame([(k, u, "html", "clash") for k, u in enumerate(urls * 3)] + [(None, "http://q.net/", None, None)], "page_id long, url string, html string, host string")
-    out = {r.page_id: r for r in url_reputation.judge_urls(pages, URL_RULES).collect()}
-    assert [out[k].rule for k in range(12)] == ["example.org/es/", "example.org/en/1", "org/", "com/fr/", "com/de/", None, None, None, None, None, None, None]
-    assert [out[k].verdict for k in (0, 1, 2, 3, 4)] == ["block", "block", "allow", "allow", "block"]
-    assert (out[0].host, out[1].path, out[5].path, out[6].host, out[7].path, out[10].host, out[11].host) == ("a.example.org", "/en/12", "/de", "", "", "h", "é.com")
-    assert None in out and url_reputation.judge_urls(pages.limit(0), URL_RULES).count() == 0
-    many = spark.createDataFrame([(k, f"http://{'spam-farm' if k % 2 else 'fine'}.example.net/{k}") for k in range(80)] + [(100, "http://new.example.net/")], "page_id long, url string")
-    got = {r.page_id: r.verdict for r in url_reputation.judge_urls(many, URL_RULES).collect()}
-    assert got[1] == "block" and got[2] == "allow" and got[100] == "allow"
+    pages = spark.createDataFrame([(k, u, GOOD, *["clash"] * 8) for k, u in enumerate(urls * 3)] + [(None, "http://q.net/", None, *["clash"] * 8)], "page_id long, url string, html string, host string, rules string, key string, hot string, cold string, own string, pages string, outcome string")
+    for rules in (URL_RULES, URL_RULES + [("block", f"never{k}.net/") for k in range(url_reputation.MOST_RULES)]):
+        rows = url_reputation.judge_urls(pages, rules).collect()
+        out = {r.page_id: r for r in rows}
+        assert len(rows) == 37 and [out[k].rule for k in range(12)] == ["example.org/es/", "example.org/en/1", "org/", "com/fr/", "com/de/", None, None, None, None, None, None, None]
+        assert [out[k].verdict for k in range(12)] == ["block", "block", "allow", "allow", "block"] + ["allow"] * 7
+        assert (out[0].host, out[1].path, out[5].path, out[6].host, out[7].path, out[10].host, out[11].host) == ("a.example.org", "/en/12", "/de", "", "", "h", "é.com")
+        assert None in out and url_reputation.judge_urls(pages.limit(0), rules).count() == 0
+
+
+def test_content_outcomes_and_suffixes(spark):
+    rows = [(0, GOOD, "a.b.co.uk"), (1, BAD, "b.co.uk"), (2, "", "co.uk"), (3, None, "x.y.com"), (4, "<p>a ! b ! c</p>", "com"), (5, "<script>a</script>", "x.gov.de"), (6, "word " * 200_000, "")]
+    out = spark.createDataFrame(rows, "k long, html string, host string").select("k", url_reputation.content_outcome(F.col("html")).alias("o"), *url_reputation.host_levels(F.col("host"))).collect()
+    assert [r.o for r in sorted(out)] == [0.0, 1.0, None, None, 1.0, None, 0.0]
+    assert [(r[2], r[3]) for r in sorted(out)] == [("b.co.uk", "co.uk"), ("b.co.uk", "co.uk"), ("co.uk", "co.uk"), ("y.com", "com"), ("com", "com"), ("x.gov.de", "gov.de"), ("", "")]
+
+
+@pytest.mark.parametrize("hot", [1e-3, 0.3])
+def test_the_bound_decides_on_hosts_with_pages_of_both_kinds(spark, monkeypatch, hot):
+    monkeypatch.setattr(url_reputation, "HOT_SHARE", hot)
+    hosts = [("bad.one.net", 60, 30), ("few.one.net", 2, 1), ("good.two.net", 60, 2), ("fine.three.com", 100, 0), ("mid.three.com", 40, 6)]
+    rows = [(i * 1000 + k, f"http://{h}/{k}", BAD if k < bad else GOOD) for i, (h, n, bad) in enumerate(hosts) for k in range(n)] + [(9000, "http://new.two.net/", None)]
+    got = {r.page_id: r for r in url_reputation.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string"), []).collect()}
+    # the same by plain arithmetic
+    n, b, up = {}, {}, {}
+    for h, pages, bad in [*hosts, ("new.two.net", 0, 0)]:
+        domain, suffix = h.split(".", 1)[1], h.rsplit(".", 1)[1]
+        up[h], up[domain], up[suffix] = domain, suffix, None
+        for name in (h, domain, suffix):
+            n[name], b[name] = n.get(name, 0) + pages, b.get(name, 0) + bad
+    total = (sum(x[2] for x in hosts) + 0.5) / (sum(x[1] for x in hosts) + 1)
+    mean, weight = {}, {}
+    for names in ([x for x in up if up[x] is None], [x for x in up if x.count(".") == 1], [x for x in up if x.count(".") == 2]):
+        prior = {x: mean[up[x]] if up[x] else total for x in names}
+        own = [x for x in names if n[x]]
+        between, noise, spread = (sum(f(x, prior[x]) for x in own) for f in (lambda x, m: n[x] * (b[x] / n[x] - m) ** 2, lambda x, m: m * (1 - m), lambda x, m: n[x] * m * (1 - m)))
+        share = max(0.0, between - noise) / (spread - noise)
+        k = min(1e4, max(0.5, 1 / share - 1)) if share > 0 else 1e4
+        for x in names:
+            mean[x], weight[x] = (prior[x] * k + b[x]) / (n[x] + k), n[x] + k
+    for i, (h, _, _) in enumerate([*hosts]):
+        low = max(0.0, mean[h] - 1.64 * (mean[h] * (1 - mean[h]) / (weight[h] + 1)) ** 0.5)
+        assert abs(got[i * 1000].bad_low - low) < 1e-9 and got[i * 1000].verdict == ("block" if low >= 0.2 else "allow")
+    assert got[0].verdict == got[59].verdict == "block" and got[2000].verdict == "allow" and got[4000].verdict == "allow"
+    assert got[9000].verdict == "allow" and 0 < got[9000].bad_low < 1
 
 
 def test_pipeline_stages(spark, tmp_path):
@@ -232,7 +306,7 @@ def test_pipeline_stages(spark, tmp_path):
     copies = [(200 + k, clean[k][1] + (" more" if k % 2 else ""), "en") for k in range(10)]
     leaked = [(300, clean[20][1][:200] + " " + clean[21][1][:250] + " end of it", "en")]
     sf = str(tmp_path / "sf")
-    docs(spark, clean + junk + copies + leaked + ODD).drop("text2").write.parquet(f"{sf}/documents.parquet")
+    docs(spark, clean + junk + copies + leaked + ODD).write.parquet(f"{sf}/documents.parquet")
     spark.createDataFrame([(1, clean[21][1][:200]), (2, "nothing of this is there at all in any text")], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
     spark.createDataFrame([(k, 1, 0) for k in range(60)] + [(100 + k, 0, 0) for k in range(5)], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES][2] == "n-gram Jaccard join" and len(corpus_pipeline.STAGES) == 5

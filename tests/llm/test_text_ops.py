@@ -13,12 +13,14 @@ from pyspark.sql import functions as F
 from chronolake.llm import hmm_lm, langid, piece_codec, text, token_store
 from chronolake.llm.queries import fold, tokenizer_file
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, text2 string"
+#: Names that the operators use inside, as further columns of every table of documents.
+CLASHING = ("words", "windows", "row", "kept", "train", "mark", "found", "label", "x", "ids", "gone", "gone_mark", "own_id", "own_mark", "carried", "carried_0", "chunk", "sig", "n", "shard", "score", "decoded", "labelled_id")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHING)
 ODD = [(1, "The cat sat on the Mat.", "en"), (2, None, "en"), (3, "", None), (4, " \t\n ", "de"), (5, "one", "fr"), (6, "a b c d e f a b c d e", "es"), (6, "a b c d e f a b c d e", "es"), (None, "null id text here", "en"), (7, "Éa\x0bthe THE ▁ 日本", "en"), (8, "w%d " * 3000 % tuple(range(3000)), "en"), (9, "....!!! 123", "en")]
 
 
 def docs(spark, rows=ODD):
-    return spark.createDataFrame([(i, t, x, "src", len(t or ""), "clash") for i, t, x in rows], SCHEMA)
+    return spark.createDataFrame([(i, t, x, "src", len(t or ""), *["clash"] * len(CLASHING)) for i, t, x in rows], SCHEMA)
 
 
 def words(t):
@@ -72,7 +74,7 @@ def test_baum_welch_never_lowers_the_likelihood():
     rng = np.random.default_rng(3)
     lengths = np.full(30, 20)
     classes = np.concatenate([rng.integers(0, 4, 20) + 4 * (i % 2) for i in range(30)])
-    model = hmm_lm.starting_model(classes, lengths, 2, 8, 0)
+    model = hmm_lm.starting_model(np.bincount(classes, minlength=9).astype(float), 2)
     last = -np.inf
     for _ in range(8):
         s = hmm_lm.Sweep(classes, lengths)
@@ -80,25 +82,96 @@ def test_baum_welch_never_lowers_the_likelihood():
         assert now > last - 1e-6
         last, counts = now, hmm_lm.no_counts(2, 8)
         s.expected(model, counts)
-        assert abs(counts["emit"].sum() - len(classes)) < 1e-6
+        assert abs(counts["emit"].sum() - len(classes)) < 1e-6 and abs(counts["likelihood"] - now) < 1e-6
         model = hmm_lm.normalised(counts, pull=0.0)
 
 
-def test_scores_and_base_columns(spark):
-    df = docs(spark, ODD + [(10 + k, f"alpha beta gamma {k % 5} delta alpha", "en") for k in range(60)])
-    out = {(r.doc_id, r.n_tokens): r for r in hmm_lm.score_documents(df, fold(7) != 2, n_classes=64, states=2).collect()}
-    rows = df.collect()
+def plain_scores(rows, held, states, n_classes, own_share, passes):
+    """Scores by plain loops: counts in dictionaries, forward and backward without scaling."""
+    seqs = [words(t) for _, t, _ in rows]
+    train = [k for k, (i, _, _) in enumerate(rows) if not held(i)]
+    count = Counter(w for k in train for w in seqs[k])
+    ends, n = len(train), sum(count.values()) + len(train)
+    hashed = {w: int(text.word_hashes(*text.buffers(pa.array([w])))[0][0]) for own in seqs for w in own}
+    alone = sorted((w for w in count if count[w] >= max(1.0, n * own_share)), key=hashed.get)
+    class_of = {w: (n_classes + alone.index(w) if w in alone else hashed[w] >> (64 - n_classes.bit_length() + 1)) for w in hashed}
+    end = n_classes + len(alone)
+    tokens = np.zeros(end + 1)
+    types = Counter()
+    for w, c in count.items():
+        tokens[class_of[w]] += c
+        types[class_of[w]] += 1
+    tokens[end] = ends
+    seq = [[*(class_of[w] for w in own), end] for own in seqs]
+    model = hmm_lm.starting_model(tokens, states)
+
+    def forward(s):
+        a = [model["start"] * model["emit"][s[0]]]
+        for c in s[1:]:
+            a.append((a[-1] @ model["moves"]) * model["emit"][c])
+        return a
+
+    for _ in range(passes):
+        counts = hmm_lm.no_counts(states, end)
+        for k in train:
+            s, a = seq[k], forward(seq[k])
+            b = [np.ones(states)]
+            for c in reversed(s[1:]):
+                b.insert(0, model["moves"] @ (model["emit"][c] * b[0]))
+            total = a[-1].sum()
+            counts["start"] += a[0] * b[0] / total
+            for t, c in enumerate(s):
+                counts["emit"][c] += a[t] * b[t] / total
+                if t:
+                    counts["moves"] += np.outer(a[t - 1], model["emit"][c] * b[t]) * model["moves"] / total
+        model = hmm_lm.normalised(counts)
+    out = []
+    for own, s in zip(seqs, seq, strict=True):
+        total = math.log10(forward(s)[-1].sum())
+        for w in own:
+            c = class_of[w]
+            if c < n_classes and tokens[c]:
+                total += math.log10((count[w] or types[c]) / (tokens[c] + types[c]))
+        out.append(total)
+    return out
+
+
+def test_scores_and_base_columns(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    some = [(100 + k, " ".join(f"{'ab'[k % 2]}{int(x)}" for x in rng.geometric(0.15, 25)), "en") for k in range(40)]
+    rows = [r for r in ODD if r[0] != 8] + [(10 + k, f"alpha beta gamma {k % 5} delta alpha", "en") for k in range(60)] + some
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
-    count = Counter(w for r in rows if not held(r.doc_id) for w in [*words(r.text), None])
+    count = Counter(w for i, t, _ in rows if not held(i) for w in [*words(t), None])
     n, v = sum(count.values()), len(count)
-    for r in rows:
-        own = [*words(r.text), None]
-        got = out[r.doc_id, len(own)]
-        assert got.train == (not held(r.doc_id)) and got.train_tokens == n
-        assert got.n_known == sum(count[w] > 0 for w in own)
-        assert abs(got.base_score - sum(math.log10((count[w] + 1) / (n + v + 1)) for w in own)) < 1e-9 * abs(got.base_score) + 1e-9
-        assert got.score <= 1e-9
+    monkeypatch.setattr(hmm_lm, "OWN_SHARE", 0.01)
+    monkeypatch.setattr(hmm_lm, "LEAST_GAIN", -1.0)
+    want = plain_scores(rows, held, 2, 16, 0.01, 3)
+    for postings, chunk in ((2_000_000, 1_000_000), (7, 40)):
+        monkeypatch.setattr(hmm_lm, "RANGE_POSTINGS", postings)
+        monkeypatch.setattr(hmm_lm, "CHUNK_WORDS", chunk)
+        got = hmm_lm.score_documents(docs(spark, rows), fold(7) != 2, n_classes=16, states=2, passes=3).collect()
+        out = {(r.doc_id, r.n_tokens): r for r in got}
+        assert len(got) == len(rows)
+        for (i, t, _), score in zip(rows, want, strict=True):
+            own = [*words(t), None]
+            r = out[i, len(own)]
+            assert r.train == (not held(i)) and r.train_tokens == n
+            assert r.n_known == sum(count[w] > 0 for w in own)
+            assert abs(r.base_score - sum(math.log10((count[w] + 1) / (n + v + 1)) for w in own)) < 1e-9 * abs(r.base_score) + 1e-9
+            assert abs(r.score - score) < 1e-3
     assert hmm_lm.score_documents(docs(spark, []), fold(7) != 2, n_classes=64).count() == 0
+    assert {r.n_known for r in hmm_lm.score_documents(docs(spark, rows), F.lit(False), n_classes=64).collect()} == {0}
+
+
+def test_posting_traffic_does_not_grow_with_ranges():
+    batch = pa.RecordBatch.from_arrays([pa.array([0, 1]), pa.array([None, 3]), pa.array([False, True]), pa.array(["a b c d e f " * 50, "a b g"])], names=["n", "doc_id", "train", "text"])
+    own = np.unique(text.word_hashes(*text.buffers(batch.column("text")))[0])
+    chunk = pa.RecordBatch.from_arrays([pa.array([0]), pa.array([own.tobytes()], pa.binary()), pa.array([np.ones(len(own), np.uint32).tobytes()], pa.binary())], names=["chunk", "words", "counts"])
+    for ranges in (1, 8, 512, 100_000):
+        rows = [r for b in hmm_lm._postings(ranges)(iter([chunk])) for r in b.to_pylist()]
+        assert sum(len(r["words"]) for r in rows) == 8 * len(own) and len(rows) <= len(own)
+        assert np.concatenate([np.frombuffer(r["words"], np.uint64) for r in rows]).tolist() == own.tolist()
+        assert all(int(w) * ranges >> 64 == r["frag"] for r in rows for w in np.frombuffer(r["words"], np.uint64))
 
 
 def test_kneser_ney_is_a_distribution_and_tells_languages_apart(spark):
@@ -135,10 +208,9 @@ def test_language_models_keep_every_gram_and_calibrate_rare_languages(spark, mon
 def test_token_files_equal_whole_encoding(spark, tmp_path):
     from tokenizers import Tokenizer
 
-    rows = [*ODD, (20, "a  b   c\n\n d \t e ", "x"), (21, " x", "x"), (22, "don't  stop. 's é. ×.", "x"), (23, "a <|endoftext|> b", "x")]
+    rows = [*ODD, (20, "a  b   c\n\n d \t e ", "x"), (21, " x", "x"), (22, "don't  stop. 's é. ×.", "x"), (23, "a <|endoftext|> b", "x"), (24, "in<|endoftext|>side  <|endoftext|><|endoftext|>.", "x"), (25, "<|endof", "x"), (25, "text|>", "x"), (26, "<|endoftext|>", "x")]
     path = tokenizer_file("byte_bpe_50k.json")
     model = Tokenizer.from_file(path)
-    model.encode_special_tokens = True
     got = token_store.token_digest(docs(spark, rows), path, end_id=2).collect()
     assert len(got) == len(rows)
     by_id = {}
@@ -180,5 +252,5 @@ def test_viterbi_equals_dynamic_programming_and_round_trips(spark):
     out = piece_codec.codec_digest(docs(spark), path).collect()
     assert len(out) == len(ODD) and all(r.exact for r in out)
     assert {r.n_tokens for r in out if r.doc_id in (2, 3)} == {0}
-    full = piece_codec.encode_documents(docs(spark), path, carry=("text2",)).collect()
-    assert {r.decoded for r in full} == {t or "" for _, t, _ in ODD} and {r.text2 for r in full} == {"clash"}
+    full = piece_codec.encode_documents(docs(spark), path, carry=("label", "carried_0")).collect()
+    assert {r.decoded for r in full} == {t or "" for _, t, _ in ODD} and {r.label for r in full} == {r.carried_0 for r in full} == {"clash"}
