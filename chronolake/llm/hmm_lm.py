@@ -16,6 +16,7 @@ for each chunk.  The number of ranges follows from the number of postings, so a
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -170,10 +171,10 @@ class Vocabulary:
 # -- partitions --------------------------------------------------------------------------------------------------
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     """Documents to chunk rows: distinct words with their training counts, and the word of every position."""
     part = TaskContext.get().partitionId()
-    for number, (ids, train, words, lengths) in enumerate(_grouped(batches)):
+    for number, (ids, train, words, lengths) in enumerate(_grouped(batches, most)):
         own, codes = np.unique(words, return_inverse=True)
         counts = np.bincount(codes[np.repeat(train, lengths)], minlength=len(own)).astype(np.uint32)
         narrow = np.uint16 if len(own) <= 1 << 16 else np.uint32
@@ -188,7 +189,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _grouped(batches: Iterator[pa.RecordBatch]):
+def _grouped(batches: Iterator[pa.RecordBatch], most: int):
     """ids, training flags, word hashes and lengths of chunks of documents."""
     ids, train, words, lengths, size = [], [], [], [], 0
     for batch in slices(batches, "text", 4 << 20):
@@ -198,7 +199,7 @@ def _grouped(batches: Iterator[pa.RecordBatch]):
         words.append(h)
         lengths.append(np.diff(cuts))
         size += len(h)
-        if size >= CHUNK_WORDS:
+        if size >= most:
             yield ids, np.concatenate(train), np.concatenate(words), np.concatenate(lengths)
             ids, train, words, lengths, size = [], [], [], [], 0
     if ids:
@@ -341,7 +342,7 @@ def score_documents(docs: DataFrame, train: Column, *, id: str = "doc_id", text:
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = docs.select(F.col(id).cast("bigint").alias("doc_id"), F.coalesce(train, F.lit(True)).alias("train"), F.col(text).alias("text"))
-    chunks = materialise(rows.mapInArrow(_chunks, CHUNK_SCHEMA))
+    chunks = materialise(rows.mapInArrow(partial(_chunks, most=CHUNK_WORDS), CHUNK_SCHEMA))
     size = chunks.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_train", "n_ends", "n_words"))).first()
     ends, n_train = size["n_ends"], size["n_train"] + size["n_ends"]
     ranges = max(partitions(spark), -(-size["n_words"] // RANGE_POSTINGS))

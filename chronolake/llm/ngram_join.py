@@ -5,10 +5,14 @@ separately, and summed:
 
 1. For every document, the n-grams that another text shares are counted in the fragments of one half of the order.
    A document whose sum is too low to reach the similarity with anything leaves: two linked sets differ in at most
-   a fifth of either, so all but ``n - ceil(t n)`` of the half's n-grams must be shared.
-2. The documents left, one for each distinct set, are ordered by n-gram frequency; linked sets share an n-gram among
-   the rarest ``n - ceil(t n) + 1`` of both.  Each n-gram first proposes pairs with leaders only; sets that verified
-   links already join need no further pair; what is left is paired in full.
+   a fifth of either, so all but ``n - ceil(t n)`` of the half's n-grams must be shared.  Copies and n-grams that
+   already meet within a chunk of documents are combined there, so a fragment gets an n-gram at most once a chunk
+   beside the sets that are alone with it, and replies name only sets that it counted something for.
+2. The documents left, one for each distinct set, become lists of elements: all n-grams that stand in the same sets
+   are one element with their number as its weight, ordered by how many sets hold it.  Linked sets share an element
+   that begins within the first ``n - ceil(t n)`` n-grams of both.  Each element first proposes pairs with leaders
+   only; sets that verified links already join need no further pair.  What is left is paired in full, after groups
+   with many pairs have been split by the next element in common, and again (``_rest_pairs``).
 3. The overlap of each proposed pair is counted fragment by fragment and summed per pair.
 
 Equal sets form classes, so copies are never paired.  Components come from alternating star contractions.
@@ -25,6 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ragged import gather
 from .text import buffers, mix, shingle_hashes, slices, word_hashes
 from .workspace import bounded_batches, materialise, partitions
 
@@ -33,18 +38,22 @@ WIDTH = 5
 THRESHOLD = 80
 #: Words of a chunk of documents that is sorted together.
 CHUNK_WORDS = 1_000_000
-#: Rows of a table that one task takes.
-SMALL_ROWS = 400_000
-#: Sets at which an n-gram is common, and common n-grams of a set that are looked at to make a pair once.
-COMMON, MOST_COMMON = 64, 32
+#: Bytes of the input's files, at most, for each range of the order: the number of ranges follows the data.
+RANGE_BYTES = 32 << 20
 #: Where the order is cut into fragments for the overlaps of proposed pairs: after n-grams of so many sets.
 PIVOTS = (32,)
 #: Bits of a hash that step 1 compares; equal bits of different n-grams only keep a document longer.
 SHORT_BITS = 44
 #: Turns of pairs with leaders before all pairs that are left; sets beside one leader from the second turn on.
 TURNS, PARTNERS = 3, 4
+#: A group of sets with more pairs than so many a set is split by the next element in common, if a set has no more
+#: than so many candidates for that; groups are split so often at most, and are then paired in full.
+LEAST_PAIRS, MOST_NEXT, MOST_SPLITS = 32, 8, 12
+#: Elements before a shared one that are compared to make a pair once; more only make pairs twice.
+MOST_SKIPPED = 32
 
-CHUNK_SCHEMA = "kind int, frag int, chunk bigint, doc_ids array<bigint>, size binary, half binary, sig binary, mark binary, data binary"
+CHUNK_SCHEMA = "kind int, frag int, chunk bigint, doc_ids array<bigint>, size binary, set binary, mark binary, sig binary, half binary, local binary, data binary"
+COUNT_SCHEMA = "chunk bigint, doc_ids array<bigint>, size binary, set binary, mark binary, sig binary, half binary, local binary, count binary"
 
 
 def shingle_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -66,86 +75,114 @@ def shingle_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return grams, doc, size, sig.view(np.int64)
 
 
-def _chunks(frags: int):
-    """Documents to chunk rows (kind 1) and short n-gram lists of the half for each fragment (kind 0)."""
+def _chunks(frags: int, words: int):
+    """Documents to chunk rows (kind 1) and n-grams of the half, with the sets that hold them, by fragment (kind 0).
+
+    Copies in a chunk are one set.  An n-gram of several sets of the chunk is counted for them here, and sent once,
+    without a set, so that other chunks learn of it.
+    """
     drop = np.uint64(64 - SHORT_BITS)
     span = np.uint64(1) << np.uint64(SHORT_BITS - 1)
+    borders = np.array([(f << (SHORT_BITS - 1)) // frags for f in range(frags + 1)], np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
-        for batch in slices(batches, "text", 6 * CHUNK_WORDS):
+        for batch in slices(batches, "text", 6 * words):
             grams, doc, size, sig = shingle_sets(batch.column("text"))
             chunk = (part << 32) + number
             number += 1
+            sigs, first, place = np.unique(sig, return_index=True, return_inverse=True)
             short = grams >> drop
-            own = short < span
-            short, doc = short[own], doc[own]
-            half = np.bincount(doc, minlength=len(size))
-            order = np.argsort(short, kind="stable")
-            short, doc = short[order], doc[order]
-            cut = np.searchsorted(short, [(f << (SHORT_BITS - 1)) // frags for f in range(frags + 1)])
-            rows = [(1, -1, chunk, batch.column("doc_id").to_pylist(), size.astype(np.int64).tobytes(), half.astype(np.int64).tobytes(), sig.tobytes(), batch.column("mark").to_numpy(zero_copy_only=False).astype(np.int64).tobytes(), None)]
-            for f in range(frags):
+            own = (short < span) & (first[place[doc]] == doc)
+            short, place_of = short[own], place[doc[own]]
+            half = np.bincount(place_of, minlength=len(sigs))
+            order = np.lexsort((place_of, short))
+            short, place_of = short[order], place_of[order]
+            head = np.flatnonzero(np.concatenate([[True], short[1:] != short[:-1]])) if len(short) else np.zeros(0, np.int64)
+            runs = np.diff(np.append(head, len(short)))
+            several = np.repeat(place_of[head] != place_of[np.append(head[1:], len(short)) - 1], runs) if len(short) else np.zeros(0, bool)
+            local = np.bincount(place_of[several], minlength=len(sigs))
+            send = ~several
+            send[head] = True
+            flag, short, place_of = several[send], short[send], place_of[send]
+            rows = [
+                (1, -1, chunk, batch.column("doc_id").to_pylist(), size.astype(np.int64).tobytes(), place.astype(np.int32).tobytes(),
+                 batch.column("mark").to_numpy(zero_copy_only=False).astype(np.int64).tobytes(), sigs.tobytes(), half.astype(np.int64).tobytes(), local.astype(np.int64).tobytes(), None)
+            ]
+            cut = np.searchsorted(short, borders)
+            for f in np.flatnonzero(np.diff(cut)).tolist():
                 a, b = cut[f], cut[f + 1]
-                if a < b:
-                    steps = np.diff(short[a:b])
-                    wide = bool(len(steps) and int(steps.max()) >= 1 << 32)
-                    kind = np.uint16 if len(size) < 65536 else np.uint32
-                    head = np.array([b - a, int(short[a]), wide, np.dtype(kind).itemsize], np.int64)
-                    rows.append((0, f, chunk, None, None, None, sig.tobytes(), None, b"".join((head.tobytes(), steps.astype(np.uint64 if wide else np.uint32).tobytes(), doc[a:b].astype(kind).tobytes()))))
+                steps = np.diff(short[a:b])
+                wide = bool(len(steps) and int(steps.max()) >= 1 << 32)
+                sets, spot = np.unique(place_of[a:b][~flag[a:b]], return_inverse=True)
+                where = np.full(b - a, len(sets))  # one beyond the sets: already counted
+                where[~flag[a:b]] = spot
+                kind = np.uint16 if len(sets) < 65536 else np.uint32
+                top = np.array([b - a, int(short[a]), wide, len(sets)], np.int64)
+                rows.append((0, f, chunk, *[None] * 7, b"".join((top.tobytes(), sigs[sets].tobytes(), sets.astype(np.uint32).tobytes(), steps.astype(np.uint64 if wide else np.uint32).tobytes(), where.astype(kind).tobytes()))))
             cols = list(zip(*rows, strict=True))
-            types = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 5]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["kind", "frag", "chunk", "doc_ids", "size", "half", "sig", "mark", "data"])
+            types = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 7]
+            names = ["kind", "frag", "chunk", "doc_ids", "size", "set", "mark", "sig", "half", "local", "data"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
     return run
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of one fragment: for each document, its n-grams that a different set holds too. Passes chunk rows through."""
+    """Of one fragment: by chunk, sets with the number of their n-grams that a different set holds too.
+
+    Passes chunk rows through.  Sets without such an n-gram are not named.
+    """
     parts = []
     for batch in batches:
         for row in batch.to_pylist():
             if row["kind"]:
-                yield _chunk_batch(row["chunk"], row["doc_ids"], row["size"], row["half"], row["sig"], row["mark"], None)
+                yield _count_batch(row["chunk"], row["doc_ids"], *(row[c] for c in ("size", "set", "mark", "sig", "half", "local")), None)
                 continue
-            n, start, wide, narrow = np.frombuffer(row["data"], np.int64, 4).tolist()
-            steps = np.frombuffer(row["data"], np.uint64 if wide else np.uint32, n - 1, 32)
-            doc = np.frombuffer(row["data"], np.uint16 if narrow == 2 else np.uint32, n, 32 + (8 if wide else 4) * (n - 1))
+            data = row["data"]
+            n, start, wide, m = np.frombuffer(data, np.int64, 4).tolist()
+            sigs, sets = np.frombuffer(data, np.int64, m, 32), np.frombuffer(data, np.uint32, m, 32 + 8 * m)
+            at = 32 + 12 * m
+            steps = np.frombuffer(data, np.uint64 if wide else np.uint32, n - 1, at)
+            where = np.frombuffer(data, np.uint16 if m < 65536 else np.uint32, n, at + (8 if wide else 4) * (n - 1))
             grams = np.cumsum(np.concatenate([np.array([start], np.uint64), steps.astype(np.uint64)]), dtype=np.uint64)
-            parts.append((row["chunk"], grams, doc, np.frombuffer(row["sig"], np.int64)))
+            parts.append((row["chunk"], grams, where, sigs, sets))
     if not parts:
         return
     grams = np.concatenate([p[1] for p in parts])
-    sigs = np.concatenate([p[3][p[2]] for p in parts])
+    sigs = np.concatenate([np.append(p[3], np.int64(0))[p[2]] for p in parts])
+    flag = np.concatenate([p[2] == len(p[3]) for p in parts])
     order = np.argsort(grams, kind="stable")
     first = np.flatnonzero(np.concatenate([[True], np.diff(grams[order]) != 0]))
     own = sigs[order]
-    differ = np.minimum.reduceat(own, first) != np.maximum.reduceat(own, first)
+    differ = (np.minimum.reduceat(own, first) != np.maximum.reduceat(own, first)) | np.logical_or.reduceat(flag[order], first)
     shared = np.empty(len(grams), bool)
-    shared[order] = np.repeat(differ, np.diff(np.concatenate([first, [len(grams)]])))
+    shared[order] = np.repeat(differ, np.diff(np.append(first, len(grams))))
     at = 0
-    for chunk, g, doc, sig in parts:
-        count = np.bincount(doc[shared[at : at + len(g)]], minlength=len(sig))
+    for chunk, g, where, sig, sets in parts:
+        count = np.bincount(where[shared[at : at + len(g)]], minlength=len(sig) + 1)[: len(sig)]
         at += len(g)
-        yield _chunk_batch(chunk, None, None, None, None, None, count.astype(np.uint32).tobytes())
+        some = np.flatnonzero(count)
+        if len(some):
+            yield _count_batch(chunk, *[None] * 7, sets[some].tobytes() + count[some].astype(np.uint32).tobytes())
 
 
-def _chunk_batch(chunk, doc_ids, size, half, sig, mark, count) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array([chunk], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64())), *(pa.array([x], pa.binary()) for x in (size, half, sig, mark, count))],
-        names=["chunk", "doc_ids", "size", "half", "sig", "mark", "count"],
-    )
+def _count_batch(chunk, doc_ids, *binaries) -> pa.RecordBatch:
+    names = ["chunk", "doc_ids", "size", "set", "mark", "sig", "half", "local", "count"]
+    return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64())), *(pa.array([x], pa.binary()) for x in binaries)], names=names)
 
 
 def _alive(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """Documents of a chunk, with whether the summed counts leave room for a link."""
+    """Documents of a chunk, with whether the summed counts of their sets leave room for a link."""
     head = rows[rows["doc_ids"].notna()].iloc[0]
-    size, half, sig, mark = (np.frombuffer(head[c], np.int64) for c in ("size", "half", "sig", "mark"))
-    count = np.zeros(len(size), np.int64)
+    size, mark, sig, half, local = (np.frombuffer(head[c], np.int64) for c in ("size", "mark", "sig", "half", "local"))
+    place, count = np.frombuffer(head["set"], np.int32), local.copy()
     for data in rows["count"].dropna():
-        count += np.frombuffer(data, np.uint32)
+        sets, n = np.frombuffer(data, np.uint32).reshape(2, -1)
+        count[sets] += n
+    half, count = half[place], count[place]
     spare = size - -(-THRESHOLD * size // 100)
-    return pd.DataFrame({"doc_id": pd.array(head["doc_ids"], "Int64"), "n": size, "sig": sig, "mark": mark, "alive": (size > 0) & (count >= half - spare) & ((count > 0) | (half <= spare))})
+    return pd.DataFrame({"doc_id": pd.array(head["doc_ids"], "Int64"), "n": size, "sig": sig[place], "mark": mark, "alive": (size > 0) & (count >= half - spare) & ((count > 0) | (half <= spare))})
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,26 +193,29 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(size.astype(np.int64)), pa.ListArray.from_arrays(pa.array(cuts), pa.array(grams.view(np.int64)))], names=["sig", "n", "grams"])
 
 
-def _needed(n: Column) -> Column:
-    return F.ceil(F.lit(THRESHOLD) * n / 100).cast("bigint")
-
-
 def _ordered(sets: DataFrame) -> DataFrame:
-    """sig, n, central and the set's shared n-grams (df, gram) in the global order: rare ones first, ties by hash.
+    """sig, n, spare, central and the set's elements in the global order, rare ones first, ties by hash.
 
-    N-grams of one set alone come before them; only their number, n less the size, matters.
+    An element is all n-grams that stand in the same sets: ``phs`` (the hash of these sets), ``dfs`` (their number),
+    ``ws`` (n-grams of the element, the same in every set that holds it) and ``before`` (n-grams of the set before it).
+    N-grams of one set alone come before all others; only their number matters.  ``spare``: the n-grams that a linked
+    set may lack.
     """
     rows = sets.select("sig", "n", F.explode("grams").alias("gram"))
-    counted = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    return rows.join(counted, "gram").groupBy("sig", "n").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("grams"), F.avg("df").alias("central"))
+    counted = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("df"), F.bit_xor(F.xxhash64("sig")).alias("ph")).where("df > 1")
+    lists = rows.join(counted, "gram").groupBy("sig", "n").agg(F.array_sort(F.collect_list(F.struct("df", "ph"))).alias("l"), F.avg("df").alias("central"))
+    starts = lists.withColumn("s", F.expr("filter(sequence(0, size(l) - 1), i -> i = 0 or l[i].ph <> l[i - 1].ph or l[i].df <> l[i - 1].df)"))
+    return starts.select(
+        "sig", "n", (F.col("n") - F.ceil(F.lit(THRESHOLD) * F.col("n") / 100)).cast("bigint").alias("spare"), "central",
+        F.expr("transform(s, i -> l[i].ph)").alias("phs"), F.expr("transform(s, i -> l[i].df)").alias("dfs"),
+        F.expr("transform(s, (i, k) -> if(k < size(s) - 1, s[k + 1], size(l)) - i)").alias("ws"), F.expr("transform(s, i -> n - size(l) + i)").alias("before"),
+    )
 
 
 def _prefixes(ordered: DataFrame) -> DataFrame:
-    """gram, sig, n, rank, at: the rarest n-grams of each set, with how central the set is."""
-    rows = ordered.withColumn("alone", F.col("n") - F.size("grams"))
-    room = F.col("n") - _needed(F.col("n")) + 1 - F.col("alone")
-    rows = rows.where(room > 0).select("sig", "n", "alone", F.struct("central", "sig").alias("rank"), F.slice("grams", F.lit(1), room.cast("int")).alias("grams"))
-    return rows.select("sig", "n", "rank", F.posexplode("grams").alias("at", "g"), "alone").select(F.col("g.gram").alias("gram"), "sig", "n", "rank", (F.col("at") + F.col("alone")).alias("at"))
+    """gram, sig, n, rank, idx: the elements that a linked set may share first, with how central the set is."""
+    rows = ordered.withColumn("own", F.expr("slice(phs, 1, size(filter(before, x -> x <= spare)))"))
+    return rows.select("sig", "n", F.struct("central", "sig").alias("rank"), F.posexplode("own").alias("idx", "gram"))
 
 
 def _may_link(a: str, b: str) -> Column:
@@ -184,40 +224,64 @@ def _may_link(a: str, b: str) -> Column:
 
 
 def _segments(ordered: DataFrame) -> DataFrame:
-    """sig, n, and for each fragment k of the order the set's n-grams in it (g0, g1, ...) and their number (s0, ...)."""
+    """sig, n, and for each fragment k of the order the set's elements in it (p0, p1, ...) and their weights (w0, ...)."""
     cuts = [0, *PIVOTS, (1 << 62)]
-    parts = [F.expr(f"transform(filter(grams, x -> x.df > {lo} and x.df <= {hi}), x -> x.gram)") for lo, hi in zip(cuts, cuts[1:], strict=False)]
-    rows = ordered.select("sig", "n", *(p.alias(f"g{k}") for k, p in enumerate(parts)))
-    return rows.select("*", *(F.size(f"g{k}").alias(f"s{k}") for k in range(len(parts))))
+    size = lambda hi: f"size(filter(dfs, x -> x <= {hi}))"
+    part = lambda c, lo, hi: F.expr(f"slice({c}, {size(lo)} + 1, {size(hi)} - {size(lo)})")
+    return ordered.select("sig", "n", *(part(c, lo, hi).alias(f"{x}{k}") for k, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)) for c, x in (("phs", "p"), ("ws", "w"))))
 
 
 def _verified(pairs: DataFrame, segments: DataFrame) -> DataFrame:
-    """Pairs (a, b) that link.  Overlaps are counted in each fragment and summed per pair, the rare fragment first;
-    a fragment is not looked at once the sum and all that is left cannot reach the similarity."""
-    parts = range(len(PIVOTS) + 1)
-    side = lambda c: segments.select(F.col("sig").alias(c), *(F.col(x).alias(f"{x}{c}") for x in ("n", *(f"g{k}" for k in parts), *(f"s{k}" for k in parts))))
-    rows = pairs.join(side("a"), "a").join(side("b"), "b")
-    total = F.lit(0)
-    for k in parts:
-        left = sum((F.least(f"s{j}a", f"s{j}b") for j in parts if j > k), F.lit(0))
-        total = total + F.size(F.array_intersect(f"g{k}a", f"g{k}b"))
-        rows = rows.withColumn(f"k{k}", total)
-        most = F.col(f"k{k}") + left
-        total = F.col(f"k{k}")
-        rows = rows.where(most * 100 >= THRESHOLD * (F.col("na") + F.col("nb") - most))
-    return rows.select("a", "b")
-
-
-def _together(df: DataFrame) -> DataFrame:
-    """A small written table in one partition: what follows then takes one task instead of an exchange."""
-    return df.coalesce(1) if df.count() <= SMALL_ROWS else df
+    """Pairs (a, b) that link."""
+    names = [f"{x}{k}" for k in range(len(PIVOTS) + 1) for x in "pw"]
+    side = lambda c: segments.select(F.col("sig").alias(c), *(F.col(x).alias(f"{x}{c}") for x in ("n", *names)))
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_overlaps(len(PIVOTS) + 1), "a bigint, b bigint")
+
+
+def _overlaps(fragments: int):
+    """Overlaps are counted in each fragment and summed per pair, the rare fragment first; a fragment is not looked
+    at once the sum and all that is left cannot reach the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.num_rows
+            total = np.zeros(rows, np.int64)
+            n = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
+            parts = [{x: _lists(batch.column(f"{x[0]}{k}{x[1]}")) for x in ("pa", "wa", "pb", "wb")} for k in range(fragments)]
+            weight = [np.minimum(*(np.bincount(np.repeat(np.arange(rows), np.diff(p[x][1])), p[x][0], rows) for x in ("wa", "wb"))).astype(np.int64) for p in parts]
+            live = np.arange(rows)
+            for k, p in enumerate(parts):
+                total[live] += _overlap(live, p["pa"], p["wa"], p["pb"])
+                most = total + sum(weight[k + 1 :], np.zeros(rows, np.int64))
+                live = live[(100 * most >= THRESHOLD * (n - most))[live]]
+            yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(live)), batch.column("b").take(pa.array(live))], names=["a", "b"])
+
+    return run
+
+
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    return column.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+
+
+def _overlap(live: np.ndarray, a: tuple, wa: tuple, b: tuple) -> np.ndarray:
+    """The weight of elements that both lists of each live pair hold."""
+    na, nb = np.diff(a[1])[live], np.diff(b[1])[live]
+    if not na.sum() or not nb.sum():
+        return np.zeros(len(live), np.int64)
+    keys = np.concatenate([gather(a[0], a[1][live], na), gather(b[0], b[1][live], nb)])
+    pair = np.concatenate([np.repeat(np.arange(len(live)), na), np.repeat(np.arange(len(live)), nb)])
+    weight = np.concatenate([gather(wa[0], wa[1][live], na), np.zeros(int(nb.sum()), wa[0].dtype)])
+    order = np.lexsort((keys, pair))
+    keys, pair, weight = keys[order], pair[order], weight[order]
+    both = (keys[1:] == keys[:-1]) & (pair[1:] == pair[:-1])
+    return np.bincount(pair[1:][both], np.maximum(weight[1:], weight[:-1])[both], len(live)).astype(np.int64)
 
 
 def _proposed(postings: DataFrame, turn: int) -> DataFrame:
     """Pairs (a, b) of a leader and each set of another root beside it.
 
-    First one leader for each n-gram, the most central set; later the sets of an n-gram are dealt to groups of about
-    PARTNERS by a hash that differs by n-gram and turn, each with a leader of its own.
+    First one leader for each element, the most central set; later the sets of an element are dealt to groups of about
+    PARTNERS by a hash that differs by element and turn, each with a leader of its own.
     """
     if turn:
         size = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("k"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("gram", "k")
@@ -230,32 +294,72 @@ def _proposed(postings: DataFrame, turn: int) -> DataFrame:
     return beside.select(F.least("sig", F.col("top.rank.sig")).alias("a"), F.greatest("sig", F.col("top.rank.sig")).alias("b")).distinct()
 
 
+def _nodes(rows: DataFrame, ordered: DataFrame) -> DataFrame:
+    """Rows (key, sig, root, idx, have, skipped) with what the set has after element ``idx``.
+
+    ``have``: the weight in common so far.  ``next``: the elements (idx, ph, have) that may be the next in common,
+    since the n-grams passed over are no more than the set can spare.
+    """
+    rows = rows.join(ordered.select("sig", "n", "spare", "phs", "ws", "before"), "sig")
+    last = "least(size(filter(before, x -> x <= spare + have)), size(before)) - 1"
+    following = f"if({last} > idx, transform(sequence(idx + 1, {last}), j -> struct(j as idx, phs[j] as ph, have + ws[j] as have, slice(concat(skipped, slice(phs, idx + 2, j - idx - 1)), 1, {MOST_SKIPPED}) as skipped)), array())"
+    return rows.select("key", "sig", "root", "n", "have", "skipped", F.expr("n - before[idx] - ws[idx]").alias("after"), F.expr(following).alias("next"))
+
+
+def _rest_pairs(postings: DataFrame, ordered: DataFrame) -> DataFrame:
+    """Pairs (a, b) that contain or connect all links between sets of different roots that share a first element.
+
+    A group is the sets that share a list of elements, the pairs in it those that share nothing they passed over.  A
+    group of too many pairs is split: each set goes to a group for every element that may be the next in common, so a
+    pair that shares more meets again there.  Pairs that share no more than the group's elements link only if the
+    group's weight alone suffices for both; then the smallest such set links with both, and pairs with it are enough.
+    """
+    split = postings.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("gram")
+    rows = postings.join(split, "gram").select(F.col("gram").alias("key"), "sig", "root", "idx")
+    first = rows.join(ordered.select("sig", "phs", "ws"), "sig").select("key", "sig", "root", "idx", F.expr("ws[idx]").alias("have"), F.expr(f"slice(phs, 1, least(idx, {MOST_SKIPPED}))").alias("skipped"))
+    nodes = materialise(_nodes(first, ordered))
+    made = []
+    for depth in range(MOST_SPLITS + 1):
+        roots = nodes.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"), F.sum(F.size("next")).alias("e"))
+        size = roots.groupBy("key").agg(F.sum("c").alias("k"), F.sum(F.col("c") * F.col("c")).alias("same"), F.sum("e").alias("e"), F.count(F.lit(1)).alias("r")).where("r > 1")
+        many = (F.col("k") * F.col("k") - F.col("same") > 2 * LEAST_PAIRS * F.col("k")) & (F.col("e") <= MOST_NEXT * F.col("k"))
+        sized = materialise(nodes.join(size.select("key", (many if depth < MOST_SPLITS else F.lit(False)).alias("many")), "key"))
+        whole = sized.where("not many")
+        side = lambda c: whole.select("key", *(F.col(x).alias(f"{x}{c}") for x in ("sig", "n", "root", "after", "skipped")), *([F.col("have")] if c == "a" else []))
+        least = F.ceil(F.lit(THRESHOLD) * (F.col("na") + F.col("nb")) / (100 + THRESHOLD))
+        pairs = side("a").join(side("b"), "key").where((F.col("siga") < F.col("sigb")) & (F.col("roota") != F.col("rootb")) & _may_link("na", "nb"))
+        pairs = pairs.where((F.col("have") + F.least("aftera", "afterb") >= least) & ~F.arrays_overlap("skippeda", "skippedb"))
+        made.append(materialise(pairs.select(F.col("siga").alias("a"), F.col("sigb").alias("b")).distinct()))
+        large = sized.where("many")
+        if large.isEmpty():
+            break
+        enough = large.where(F.col("have") * 100 >= THRESHOLD * F.col("n"))
+        least_set = enough.groupBy("key").agg(F.min(F.struct("n", "sig", "root")).alias("top"))
+        star = enough.join(least_set, "key").where("root <> top.root")
+        made.append(materialise(star.select(F.least("sig", "top.sig").alias("a"), F.greatest("sig", "top.sig").alias("b")).distinct()))
+        onward = large.select("key", "sig", "root", F.explode("next").alias("x")).select(F.xxhash64("key", "x.ph").alias("key"), "sig", "root", "x.idx", "x.have", "x.skipped")
+        nodes = materialise(_nodes(onward, ordered))
+    out = made[0]
+    for more in made[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def similar_sets(sets: DataFrame) -> DataFrame:
     """sig and label of every set of ``sets`` (sig, n, grams; one row for each set) that is linked with another."""
     ordered = materialise(_ordered(sets))
-    segments, prefixes = materialise(_segments(ordered)), _together(materialise(_prefixes(ordered)))
+    segments, prefixes = materialise(_segments(ordered)), materialise(_prefixes(ordered))
     postings = prefixes.withColumn("root", F.col("sig"))
     edges = tried = None
     for turn in range(TURNS):
         pairs = _proposed(postings, turn)
-        pairs = _together(materialise(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")))
-        tried = pairs if tried is None else _together(materialise(tried.unionByName(pairs)))
+        pairs = materialise(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        tried = pairs if tried is None else tried.unionByName(pairs)
         found = _verified(pairs, segments)
         # two contractions may leave a set with several centres: labels only spare pairs, the edges keep every link
         edges = contracted(found if edges is None else found.unionByName(edges.select(F.col("u").alias("a"), F.col("v").alias("b"))), 2)
-        postings = _together(materialise(prefixes.join(_labels(edges), "sig", "left").withColumn("root", F.coalesce("label", "sig")).drop("label")))
-    split = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("k"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("gram", "k")
-    rest = postings.join(split, "gram")
-    # sets of one large group share many common n-grams: a pair is made at the first of these, in the
-    # global order, that both hold
-    common = rest.where(F.col("k") >= COMMON).groupBy("sig").agg(F.slice(F.array_sort(F.collect_list(F.struct("at", "gram"))), 1, MOST_COMMON).alias("common"))
-    rest = rest.join(common, "sig", "left").withColumn("earlier", F.expr("coalesce(transform(filter(common, x -> x.at < at), x -> x.gram), cast(array() as array<bigint>))"))
-    rest = _together(materialise(rest.select("gram", "sig", "n", "root", "at", "earlier")))
-    other = rest.select("gram", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("at").alias("jb"), F.col("earlier").alias("eb"))
-    pairs = rest.select("gram", F.col("sig").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("at").alias("ja"), F.col("earlier").alias("ea")).join(other, "gram")
-    least = F.ceil(F.lit(THRESHOLD) * (F.col("na") + F.col("nb")) / (100 + THRESHOLD))
-    pairs = pairs.where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _may_link("na", "nb") & (F.least(F.col("na") - F.col("ja"), F.col("nb") - F.col("jb")) >= least) & ~F.arrays_overlap("ea", "eb"))
-    pairs = materialise(pairs.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
+        postings = materialise(prefixes.join(_labels(edges), "sig", "left").withColumn("root", F.coalesce("label", "sig")).drop("label"))
+    pairs = materialise(_rest_pairs(postings, ordered).distinct().join(tried, ["a", "b"], "left_anti"))
     return components(_verified(pairs, segments).unionByName(edges.select(F.col("u").alias("a"), F.col("v").alias("b"))))
 
 
@@ -264,7 +368,7 @@ def contracted(links: DataFrame, steps: int | None = None) -> DataFrame:
 
     ``steps`` contractions, or as many as it takes until each u has one v, the smallest of its component.
     """
-    edges = _together(materialise(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()))
+    edges = materialise(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     done = 0
     while steps is None or done < steps:
         both = edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
@@ -272,7 +376,7 @@ def contracted(links: DataFrame, steps: int | None = None) -> DataFrame:
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e"))
-        edges = _together(materialise(small.select("e.u", "e.v").where("u <> v").distinct()))
+        edges = materialise(small.select("e.u", "e.v").where("u <> v").distinct())
         done += 1
         if steps is None:
             # a forest of stars: nothing is both a leaf and a centre, and no leaf has two centres
@@ -297,9 +401,9 @@ def link_documents(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -
     """doc_id, n_shingles, component_id, one row per document.
 
     Documents without words (null and empty texts among them) have empty sets and stay alone, as their own
-    component.  Null ids take part and take the smallest id of their component, null if it has none.  Repeated rows
-    are copies; rows that share an id are separate documents.  An empty table gives no rows; other columns are not
-    read.
+    component; very long texts are compared whole.  Null ids take part and take the smallest id of their component,
+    null if it has none.  Repeated rows are copies; rows that share an id are separate documents; a pair at exactly
+    the similarity links.  An empty table gives no rows; other columns are not read.
     """
     return _linked(docs, id, text).select("doc_id", "n_shingles", "component_id")
 
@@ -308,15 +412,21 @@ def _mark(text: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
+def _ranges(docs: DataFrame) -> int:
+    """Ranges of the order: as many as the session has shuffle partitions, or more if the tables read are large."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(partitions(docs.sparkSession), -(-size // RANGE_BYTES) if size < 1 << 60 else 1)  # larger: not known
+
+
 def _linked(docs: DataFrame, id: str, text: str) -> DataFrame:
     """doc_id, n_shingles, component_id, label (of the component) and mark (a hash of the text)."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    frags = partitions(spark)
+    frags = _ranges(docs)
     rows = docs.select(F.col(id).cast("bigint").alias("doc_id"), F.col(text).alias("text"), _mark(text).alias("mark"))
-    packed = rows.mapInArrow(_chunks(frags), CHUNK_SCHEMA)
+    packed = rows.mapInArrow(_chunks(frags, CHUNK_WORDS), CHUNK_SCHEMA)
     placed = packed.repartitionById(frags, F.when(F.col("kind") == 1, F.pmod(F.xxhash64("chunk"), F.lit(frags)).cast("int")).otherwise(F.col("frag")))
-    counted = placed.mapInArrow(_shared, "chunk bigint, doc_ids array<bigint>, size binary, half binary, sig binary, mark binary, count binary")
+    counted = placed.mapInArrow(_shared, COUNT_SCHEMA)
     known = materialise(counted.groupBy("chunk").applyInPandas(_alive, "doc_id bigint, n bigint, sig bigint, mark bigint, alive boolean"))
     classes = materialise(known.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("first_id"), F.max("alive").alias("alive")))
     wanted = classes.where("alive").select(F.col("first_id").alias("wanted_id")).distinct()

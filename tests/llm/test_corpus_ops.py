@@ -57,10 +57,12 @@ def near_rows(seed=5):
     return rows
 
 
-@pytest.mark.parametrize("turns,common", [(3, 64), (1, 4)])
-def test_links_equal_all_pairs(spark, monkeypatch, turns, common):
+@pytest.mark.parametrize("turns,least", [(3, 32), (1, 4)])
+def test_links_equal_all_pairs(spark, monkeypatch, turns, least):
     monkeypatch.setattr(ngram_join, "TURNS", turns)
-    monkeypatch.setattr(ngram_join, "COMMON", common)
+    monkeypatch.setattr(ngram_join, "LEAST_PAIRS", least)
+    monkeypatch.setattr(ngram_join, "MOST_SPLITS", 12 if turns == 3 else 3)
+    monkeypatch.setattr(ngram_join, "CHUNK_WORDS", 1000 if turns == 1 else 1_000_000)
     monkeypatch.setattr(ngram_join, "PIVOTS", (4, 16))
     rows = near_rows(turns)
     got = sorted((r.doc_id is not None, r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.link_documents(docs(spark, rows)).collect() if r.doc_id is not None)
@@ -93,6 +95,21 @@ def test_links_of_chains_and_version_trees(spark):
     assert got == sorted((i, n, c) for (i, _, _), (n, c) in zip(rows, plain_components(rows), strict=True))
 
 
+def paragraph_rows(n, seed=2):
+    """Documents of six or seven paragraphs out of twelve: most pairs share several, few link."""
+    rng = random.Random(seed)
+    paragraphs = [" ".join(rng.choice("abcdefghijkl") + str(rng.randrange(50)) for _ in range(30)) for _ in range(12)]
+    return [(k, "\n".join(rng.sample(paragraphs, rng.choice([6, 6, 7]))), "en") for k in range(n)]
+
+
+def test_links_of_shared_paragraphs(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "LEAST_PAIRS", 2)
+    monkeypatch.setattr(ngram_join, "TURNS", 1)
+    rows = paragraph_rows(400)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.link_documents(docs(spark, rows)).collect())
+    assert got == sorted((i, n, c) for (i, _, _), (n, c) in zip(rows, plain_components(rows), strict=True))
+
+
 def test_components_of_paths_and_cycles(spark):
     edges = [(k, k + 1) for k in range(1, 40)] + [(100, 101), (101, 102), (102, 100)] + [(200, k) for k in range(201, 260)]
     out = {r.sig: r.label for r in ngram_join.components(spark.createDataFrame(edges, "a long, b long")).collect()}
