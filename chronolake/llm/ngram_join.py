@@ -212,10 +212,19 @@ def _ordered(sets: DataFrame) -> DataFrame:
     )
 
 
+def _node(at: str, have: str, skipped: str) -> str:
+    """What a set has at element ``at`` (SQL), with ``have`` n-grams in common up to it: idx, ph, have, after (n-grams
+    behind it), few (whether at most MOST_NEXT elements may be the next in common) and the elements skipped."""
+    few = f"coalesce(get(before, {at} + {MOST_NEXT + 1}) > spare + {have}, true)"
+    return f"struct({at} as idx, phs[{at}] as ph, {have} as have, n - before[{at}] - ws[{at}] as after, {few} as few, slice({skipped}, 1, {MOST_SKIPPED}) as skipped)"
+
+
 def _prefixes(ordered: DataFrame) -> DataFrame:
-    """gram, sig, n, rank, idx: the elements that a linked set may share first, with how central the set is."""
-    rows = ordered.withColumn("own", F.expr("slice(phs, 1, size(filter(before, x -> x <= spare)))"))
-    return rows.select("sig", "n", F.struct("central", "sig").alias("rank"), F.posexplode("own").alias("idx", "gram"))
+    """gram, sig, n, rank and the node's fields: the elements that a linked set may share first, with how central the
+    set is."""
+    rows = ordered.withColumn("p", F.expr("size(filter(before, x -> x <= spare))"))
+    nodes = F.expr(f"if(p > 0, transform(sequence(0, p - 1), i -> {_node('i', 'ws[i]', f'slice(phs, 1, least(i, {MOST_SKIPPED}))')}), array())")
+    return rows.select("sig", "n", F.struct("central", "sig").alias("rank"), F.explode(nodes).alias("x")).select(F.col("x.ph").alias("gram"), "sig", "n", "rank", "x.idx", "x.have", "x.after", "x.few", "x.skipped")
 
 
 def _may_link(a: str, b: str) -> Column:
@@ -294,16 +303,13 @@ def _proposed(postings: DataFrame, turn: int) -> DataFrame:
     return beside.select(F.least("sig", F.col("top.rank.sig")).alias("a"), F.greatest("sig", F.col("top.rank.sig")).alias("b")).distinct()
 
 
-def _nodes(rows: DataFrame, ordered: DataFrame) -> DataFrame:
-    """Rows (key, sig, root, idx, have, skipped) with what the set has after element ``idx``.
-
-    ``have``: the weight in common so far.  ``next``: the elements (idx, ph, have) that may be the next in common,
-    since the n-grams passed over are no more than the set can spare.
-    """
-    rows = rows.join(ordered.select("sig", "n", "spare", "phs", "ws", "before"), "sig")
-    last = "least(size(filter(before, x -> x <= spare + have)), size(before)) - 1"
-    following = f"if({last} > idx, transform(sequence(idx + 1, {last}), j -> struct(j as idx, phs[j] as ph, have + ws[j] as have, slice(concat(skipped, slice(phs, idx + 2, j - idx - 1)), 1, {MOST_SKIPPED}) as skipped)), array())"
-    return rows.select("key", "sig", "root", "n", "have", "skipped", F.expr("n - before[idx] - ws[idx]").alias("after"), F.expr(following).alias("next"))
+def _children(rows: DataFrame, ordered: DataFrame) -> DataFrame:
+    """Sets of split groups (key, sig, root, idx, have, skipped), once for each element that may be the next in common:
+    the n-grams passed over are no more than the set can spare."""
+    rows = rows.join(ordered.select("sig", "n", "spare", "phs", "ws", "before"), "sig").withColumn("last", F.expr("size(filter(before, x -> x <= spare + have)) - 1"))
+    passed = f"concat(skipped, slice(phs, idx + 2, least(j - idx - 1, {MOST_SKIPPED})))"
+    following = F.expr(f"if(last > idx, transform(sequence(idx + 1, last), j -> {_node('j', '(have + ws[j])', passed)}), array())")
+    return rows.select("key", "sig", "root", "n", F.explode(following).alias("x")).select(F.xxhash64("key", "x.ph").alias("key"), "sig", "root", "n", "x.idx", "x.have", "x.after", "x.few", "x.skipped")
 
 
 def _rest_pairs(postings: DataFrame, ordered: DataFrame) -> DataFrame:
@@ -315,14 +321,12 @@ def _rest_pairs(postings: DataFrame, ordered: DataFrame) -> DataFrame:
     group's weight alone suffices for both; then the smallest such set links with both, and pairs with it are enough.
     """
     split = postings.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("gram")
-    rows = postings.join(split, "gram").select(F.col("gram").alias("key"), "sig", "root", "idx")
-    first = rows.join(ordered.select("sig", "phs", "ws"), "sig").select("key", "sig", "root", "idx", F.expr("ws[idx]").alias("have"), F.expr(f"slice(phs, 1, least(idx, {MOST_SKIPPED}))").alias("skipped"))
-    nodes = materialise(_nodes(first, ordered))
+    nodes = materialise(postings.join(split, "gram").select(F.col("gram").alias("key"), "sig", "root", "n", "idx", "have", "after", "few", "skipped"))
     made = []
     for depth in range(MOST_SPLITS + 1):
-        roots = nodes.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"), F.sum(F.size("next")).alias("e"))
+        roots = nodes.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"), F.count_if("few").alias("e"))
         size = roots.groupBy("key").agg(F.sum("c").alias("k"), F.sum(F.col("c") * F.col("c")).alias("same"), F.sum("e").alias("e"), F.count(F.lit(1)).alias("r")).where("r > 1")
-        many = (F.col("k") * F.col("k") - F.col("same") > 2 * LEAST_PAIRS * F.col("k")) & (F.col("e") <= MOST_NEXT * F.col("k"))
+        many = (F.col("k") * F.col("k") - F.col("same") > 2 * LEAST_PAIRS * F.col("k")) & (4 * F.col("e") >= 3 * F.col("k"))
         sized = materialise(nodes.join(size.select("key", (many if depth < MOST_SPLITS else F.lit(False)).alias("many")), "key"))
         whole = sized.where("not many")
         side = lambda c: whole.select("key", *(F.col(x).alias(f"{x}{c}") for x in ("sig", "n", "root", "after", "skipped")), *([F.col("have")] if c == "a" else []))
@@ -337,8 +341,7 @@ def _rest_pairs(postings: DataFrame, ordered: DataFrame) -> DataFrame:
         least_set = enough.groupBy("key").agg(F.min(F.struct("n", "sig", "root")).alias("top"))
         star = enough.join(least_set, "key").where("root <> top.root")
         made.append(materialise(star.select(F.least("sig", "top.sig").alias("a"), F.greatest("sig", "top.sig").alias("b")).distinct()))
-        onward = large.select("key", "sig", "root", F.explode("next").alias("x")).select(F.xxhash64("key", "x.ph").alias("key"), "sig", "root", "x.idx", "x.have", "x.skipped")
-        nodes = materialise(_nodes(onward, ordered))
+        nodes = materialise(_children(large.select("key", "sig", "root", "idx", "have", "skipped"), ordered))
     out = made[0]
     for more in made[1:]:
         out = out.unionByName(more)
@@ -349,7 +352,8 @@ def similar_sets(sets: DataFrame) -> DataFrame:
     """sig and label of every set of ``sets`` (sig, n, grams; one row for each set) that is linked with another."""
     ordered = materialise(_ordered(sets))
     segments, prefixes = materialise(_segments(ordered)), materialise(_prefixes(ordered))
-    postings = prefixes.withColumn("root", F.col("sig"))
+    light = prefixes.select("gram", "sig", "n", "rank")
+    postings = light.withColumn("root", F.col("sig"))
     edges = tried = None
     for turn in range(TURNS):
         pairs = _proposed(postings, turn)
@@ -358,8 +362,11 @@ def similar_sets(sets: DataFrame) -> DataFrame:
         found = _verified(pairs, segments)
         # two contractions may leave a set with several centres: labels only spare pairs, the edges keep every link
         edges = contracted(found if edges is None else found.unionByName(edges.select(F.col("u").alias("a"), F.col("v").alias("b"))), 2)
-        postings = materialise(prefixes.join(_labels(edges), "sig", "left").withColumn("root", F.coalesce("label", "sig")).drop("label"))
-    pairs = materialise(_rest_pairs(postings, ordered).distinct().join(tried, ["a", "b"], "left_anti"))
+        labels = materialise(_labels(edges))
+        rooted = lambda rows, labels=labels: rows.join(labels, "sig", "left").withColumn("root", F.coalesce("label", "sig")).drop("label")
+        if turn + 1 < TURNS:
+            postings = materialise(rooted(light))
+    pairs = materialise(_rest_pairs(materialise(rooted(prefixes)), ordered).distinct().join(tried, ["a", "b"], "left_anti"))
     return components(_verified(pairs, segments).unionByName(edges.select(F.col("u").alias("a"), F.col("v").alias("b"))))
 
 
