@@ -83,9 +83,15 @@ class Matcher:
         if self.empty or not text:
             return []
         spans: dict[int, list[tuple[int, int]]] = {}
+        out, whole = [], set()
         for end, (size, where) in self.automaton.iter(text):
             for i, a in where:
                 _, m, budget, _ = self.items[i]
+                if not budget:  # an item too short for an edit: the piece is the item, and must be whole words
+                    if i not in whole and (end + 1 == size or text[end - size] == " ") and (end + 1 == len(text) or text[end + 1] == " "):
+                        whole.add(i)
+                        out.append((self.items[i][0], 0))
+                    continue
                 lo = end + 1 - size - a - budget
                 have = spans.setdefault(i, [])
                 span = (max(0, lo), min(len(text), lo + m + 2 * budget))
@@ -93,7 +99,6 @@ class Matcher:
                     have[-1] = (min(have[-1][0], span[0]), max(have[-1][1], span[1]))
                 else:
                     have.append(span)
-        out = []
         for i, parts in spans.items():
             item, m, budget, masks = self.items[i]
             best = budget + 1
@@ -111,7 +116,9 @@ def flag_documents(docs: DataFrame, benchmark: DataFrame, *, id: str = "doc_id",
     """doc_id, contaminated, items, distances and the columns ``carry``, one row per document.
 
     ``items`` lists the benchmark items found, ascending, with the edit distance of each.  A benchmark larger than
-    ``block_chars`` is searched for in blocks, one pass each.  Null and empty texts hold nothing; items whose text
+    ``block_chars`` is searched for in blocks, one pass each.  An item of fewer than ``per_error`` characters allows no
+    edit and is found only as whole words: "art" is not in "party".  Very long texts are searched whole; equal
+    passages count once.  Null and empty texts hold nothing; items whose text
     is null, or empty once cleaned, are found nowhere; items of one id count once, with the least distance; items without
     an id make a document contaminated but are not listed; documents' null ids and repeated rows stay; empty tables give no
     rows or no hits.
