@@ -93,9 +93,12 @@ def verdict(rules: list[Rule]) -> Column:
 
 
 def apply_rules(docs: DataFrame, *, id: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = 1000, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the base counts, base_failed, rejected_by and kept, one row per document;
+    """doc_id, the base counts, base_failed and kept, one row per document;
     or, with ``carry``, those columns of the documents that are kept.
 
+    Which rule rejects first depends on the measured order and is not told; whether any does, does not.  Very long
+    texts are measured whole.
+
     Null and empty texts have no words and fail the base check.  Null ids and repeated rows stay, each judged on
     its own; an empty table gives no rows; other columns are not read.  ``sample_rows`` bounds the sample that
     only sets the order of the rules.
@@ -111,5 +114,5 @@ def apply_rules(docs: DataFrame, *, id: str = "doc_id", text: str = "text", rule
     if carry:
         return rows.select(F.explode(F.when(failed.isNull(), F.array("carried")).otherwise(F.array())).alias("row")).select("row.*")
     base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    out = F.struct(*base, F.expr(BASE_FAILS).alias("base_failed"), failed.alias("rejected_by"))
-    return rows.select(F.explode(F.array(out)).alias("row")).select("row.*").withColumn("kept", F.col("rejected_by").isNull())
+    out = F.struct(*base, F.expr(BASE_FAILS).alias("base_failed"), failed.isNull().alias("kept"))
+    return rows.select(F.explode(F.array(out)).alias("row")).select("row.*")
