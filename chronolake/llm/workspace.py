@@ -15,11 +15,13 @@ BATCH_BYTES = 16 << 20
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name below ``spark.checkpoint.dir``.
 
-    The setting is read from the session.  Where it is unset (tests on one machine) a temporary folder is made
-    and set once, so that later calls share it.
+    The setting is read from the session.  Where it is unset, a session on one machine gets a temporary folder, set
+    once so that later calls share it; on a cluster executors could not share one, and that is refused.
     """
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         top = tempfile.mkdtemp(prefix="chronolake-")
         spark.conf.set("spark.checkpoint.dir", top)
     return f"{top.rstrip('/')}/llm-{uuid.uuid4().hex}"

@@ -241,6 +241,12 @@ def test_items_without_an_id_are_searched(spark):
         assert out == {1: (True, [], []), 2: (False, [], []), 3: (True, [7], [0])}
 
 
+def test_short_items_are_whole_words(spark):
+    rows = [(1, "the party is over", "en"), (2, "Art, of course", "en"), (3, "modern art", "en"), (4, "art", "en"), (5, "smart art part", "en"), (6, "x " * 300_000 + "art", "en")]
+    out = {r.doc_id: (r.contaminated, r.distances) for r in decontaminate.flag_documents(docs(spark, rows), spark.createDataFrame([(7, "art")], "item_id long, text string")).collect()}
+    assert out == {1: (False, [])} | {k: (True, [0]) for k in (2, 3, 4, 5, 6)}
+
+
 def test_compaction_keeps_rows_and_versions(spark, tmp_path):
     df = docs(spark, [*ODD, *((k, f"text {k} " * 50, "en") for k in range(300, 700))]).repartition(6)
     store = compaction.ingest(df, str(tmp_path / "s"), F.pmod(F.col("doc_id"), F.lit(5)), 5, target_bytes=40_000, least_bytes=2_000)
