@@ -1,4 +1,7 @@
-"""Baselines as expressions; fitted models as one grouped map over (fold, target)."""
+"""Baselines as expressions; fitted models as one grouped map over (fold, target).
+
+``by``: columns beside fold_id that tell series apart, such as a target's name; each is a problem of its own.
+"""
 
 from __future__ import annotations
 
@@ -7,38 +10,56 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..guards import refuse_if_any
+
 
-def persistence(assigned: DataFrame) -> DataFrame:
+def persistence(assigned: DataFrame, *by: str) -> DataFrame:
     """Each fold's label with the latest target time among its training rows, for every validation row."""
-    train = assigned.where("partition = 'train'").groupBy("fold_id").agg(F.max_by("target", F.struct("target_time", "row_id")).alias("prediction"))
-    return _evidence(assigned.where("partition = 'validation'").join(train, "fold_id"), "persistence")
+    keys = ["fold_id", *by]
+    train = assigned.where("partition = 'train'").groupBy(*keys).agg(F.max_by("target", F.struct("target_time", "row_id")).alias("prediction"))
+    return _evidence(assigned.where("partition = 'validation'").join(train, keys, "left"), "persistence", by)
+
+
+def seasonal(assigned: DataFrame, hours: int, *by: str) -> DataFrame:
+    """Training label exactly a season before, null where there is none: ``eligible`` then gives the candidate up."""
+    keys = ["fold_id", *by, "target_time"]
+    train = assigned.where("partition = 'train'").select("fold_id", *by, (F.col("target_time") + F.make_dt_interval(F.lit(0), F.lit(hours))).alias("target_time"), F.col("target").alias("prediction"))
+    rows = assigned.where("partition = 'validation'").join(train, keys, "left")
+    return _evidence(rows, f"seasonal_{hours}h", by)
 
 
-def seasonal(assigned: DataFrame, hours: int) -> DataFrame:
-    """Training label exactly a season before; a fold with any gap gives the whole candidate up."""
-    train = assigned.where("partition = 'train'").select("fold_id", (F.col("target_time") + F.make_dt_interval(F.lit(0), F.lit(hours))).alias("target_time"), F.col("target").alias("prediction"))
-    rows = assigned.where("partition = 'validation'").join(train, ["fold_id", "target_time"], "left")
-    return _evidence(rows, f"seasonal_{hours}h")
+def condition_mean(assigned: DataFrame, column: str, *by: str) -> DataFrame:
+    """Mean training label of the same condition, the fold's mean for a condition that training does not hold."""
+    keys = ["fold_id", *by]
+    train = assigned.where("partition = 'train'")
+    own = train.groupBy(*keys, F.col(column).alias("_c")).agg(F.avg("target").alias("_own"))
+    every = train.groupBy(*keys).agg(F.avg("target").alias("_all"))
+    rows = assigned.where("partition = 'validation'").withColumn("_c", F.col(column)).join(own, [*keys, "_c"], "left").join(every, keys, "left")
+    return _evidence(rows.withColumn("prediction", F.coalesce("_own", "_all")), f"{column}_mean", by)
 
 
-def conditional(assigned: DataFrame, *columns: str) -> DataFrame:
-    """Sorted training labels of the same condition, as an array ``values``; conditions match null to null."""
+def conditional(assigned: DataFrame, *columns: str, strict: bool = False) -> DataFrame:
+    """Sorted training labels of the same condition, as an array ``values``; conditions match null to null.
+
+    An unseen condition has no values, or with ``strict`` is refused.
+    """
     train = assigned.where("partition = 'train'").groupBy("fold_id", *columns).agg(F.array_sort(F.collect_list("target")).alias("values"))
     v, t = assigned.where("partition = 'validation'").alias("v"), train.alias("t")
     on = F.col("v.fold_id") == F.col("t.fold_id")
     for c in columns:
         on = on & F.col(f"v.{c}").eqNullSafe(F.col(f"t.{c}"))
-    return v.join(t, on, "left").select("v.*", "t.values")
+    out = v.join(t, on, "left").select("v.*", "t.values")
+    return refuse_if_any(out, unseen_condition=F.col("values").isNull()) if strict else out
 
 
-def _evidence(rows: DataFrame, model: str) -> DataFrame:
-    return rows.select("fold_id", "row_id", F.lit(model).alias("model_id"), "issue_time", "target_time", F.col("target").alias("truth"), "prediction")
+def _evidence(rows: DataFrame, model: str, by: tuple[str, ...] = ()) -> DataFrame:
+    return rows.select("fold_id", *by, "row_id", F.lit(model).alias("model_id"), "issue_time", "target_time", F.col("target").alias("truth"), "prediction")
 
 
-def eligible(evidence: DataFrame) -> DataFrame:
-    """Evidence of the models that predicted every case."""
-    broken = evidence.where("prediction is null").select("model_id").distinct()
-    return evidence.join(broken, "model_id", "left_anti")
+def eligible(evidence: DataFrame, *by: str) -> DataFrame:
+    """Evidence of the models that predicted every case, so that all are compared on the same ones."""
+    broken = evidence.where("prediction is null or isnan(prediction)").select(*by, "model_id").distinct()
+    return evidence.join(broken, [*by, "model_id"], "left_anti")
 
 
 # -- fitted models
@@ -120,19 +141,25 @@ class BoostedTrees:
         return self.base + self.rate * sum(self._value(t, x) for t in self.roots)
 
 
-def fitted(assigned: DataFrame, model_id: str, make) -> DataFrame:
-    """Out-of-fold predictions of a fresh model for each fold; a fold's rows are bounded by the plan's lengths."""
+def fitted(assigned: DataFrame, model_id: str, make, *by: str) -> DataFrame:
+    """Out-of-fold predictions of a fresh model for each fold and series; its rows are bounded by the plan's lengths.
+
+    Truth never reaches ``predict``.  Where training has fewer than two labels, predictions are null.
+    """
+    keys = ["fold_id", *by]
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        train, ask = rows[rows["partition"] == "train"], rows[rows["partition"] == "validation"]
-        if len(train) < 2 or not len(ask):
-            return pd.DataFrame({"fold_id": [], "row_id": [], "prediction": []})
-        x = lambda r: np.array(r["features"].tolist(), float)
-        p = make().fit(x(train), train["target"].to_numpy(float)).predict(x(ask))
-        return pd.DataFrame({"fold_id": key[0], "row_id": ask["row_id"], "prediction": p})
+        train, ask = rows[(rows["partition"] == "train") & rows["target"].notna()], rows[rows["partition"] == "validation"]
+        out = {k: v for k, v in zip(keys, key, strict=True)} | {"row_id": ask["row_id"], "prediction": np.full(len(ask), np.nan)}
+        if len(train) >= 2 and len(ask):
+            x = lambda r: np.array(r["features"].tolist(), float)
+            out["prediction"] = make().fit(x(train), train["target"].to_numpy(float)).predict(x(ask))
+        return pd.DataFrame(out)
 
-    found = assigned.where("target is not null").select("fold_id", "row_id", "partition", "features", "target").groupBy("fold_id").applyInPandas(run, "fold_id int, row_id string, prediction double")
-    return _evidence(assigned.where("partition = 'validation'").join(found, ["fold_id", "row_id"]), model_id)
+    kinds = ", ".join(f"{k} {assigned.schema[k].dataType.simpleString()}" for k in keys)
+    found = assigned.select(*keys, "row_id", "partition", "features", "target").groupBy(*keys).applyInPandas(run, f"{kinds}, row_id string, prediction double")
+    rows = assigned.where("partition = 'validation'").join(found, [*keys, "row_id"], "left")
+    return _evidence(rows.withColumn("prediction", F.when(~F.isnan("prediction"), F.col("prediction"))), model_id, by)
 
 
 # -- evaluation
@@ -159,8 +186,19 @@ def causal_choice(weekly: DataFrame) -> DataFrame:
     return scored.groupBy("week").agg(F.min_by("model_id", F.struct("past", "model_id")).alias("model_id"), F.min("past").alias("past_mae"))
 
 
-def fold_summary(per_fold: DataFrame, *keys: str) -> DataFrame:
-    return per_fold.groupBy(*keys).agg(F.avg("mae").alias("mae_mean"), F.percentile("mae", F.lit(0.5)).alias("mae_median"), F.max("mae").alias("mae_worst"), F.stddev_pop("mae").alias("mae_std"), F.min("coverage").alias("coverage_worst"))
+def fold_summary(per_fold: DataFrame, *keys: str, metrics: tuple[str, ...] = ("mae",), worst: dict[str, str] | None = None) -> DataFrame:
+    """Mean, median, worst and deviation of each metric over folds; ``worst``: "min" for metrics that should be high."""
+    worst = worst or {}
+    parts = []
+    for m in metrics:
+        bad = F.min(m) if worst.get(m) == "min" else F.max(m)
+        parts += [F.avg(m).alias(f"{m}_mean"), F.percentile(m, F.lit(0.5)).alias(f"{m}_median"), bad.alias(f"{m}_worst"), F.stddev_pop(m).alias(f"{m}_std")]
+    return per_fold.groupBy(*keys).agg(*parts)
+
+
+def stability(per_fold: DataFrame, metric: str, *keys: str) -> DataFrame:
+    """1 for a metric that is the same in every fold, towards 0 as it varies."""
+    return per_fold.groupBy(*keys).agg((1 / (1 + F.stddev_pop(metric))).alias("stability"))
 
 
 def ablation(board: DataFrame, base: str, candidate: str, *keys: str) -> DataFrame:

@@ -84,10 +84,28 @@ def validate_realizations(df: DataFrame, targets: list[str], key: str = "timesta
     return refuse_if_any(df, null_key=F.col(key).isNull())
 
 
-def require_same_keys(a: DataFrame, b: DataFrame, key: str) -> None:
+def unmatched_keys(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
+    """Keys of ``a`` that ``b`` lacks."""
+    return a.select(*keys).join(b.select(*keys), list(keys), "left_anti")
+
+
+def require_same_keys(a: DataFrame, b: DataFrame, *keys: str) -> None:
     for x, y, name in ((a, b, "without a realization"), (b, a, "without a prediction")):
-        if not x.join(y, key, "left_anti").isEmpty():
-            raise Refused(f"{key} {name}")
+        if not unmatched_keys(x, y, *keys).isEmpty():
+            raise Refused(f"{', '.join(keys)} {name}")
+
+
+def mean_rmse(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """One row: the root mean square error of the samples' means over all (samples, truth) columns together."""
+    errors = F.array(*(array_mean(F.col(s)) - F.col(t) for s, t in pairs))
+    return df.select(F.explode(errors).alias("e")).agg(F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"))
+
+
+def week_metrics(df: DataFrame, truth: str, low: str, point: str, high: str, *keys: str) -> DataFrame:
+    """Capture (inclusive), sharpness, mae and bias of a central interval and its point; crossed bounds are refused."""
+    checked = df.withColumn("_ok", F.when(F.col(low) > F.col(high), F.raise_error(F.lit("crossed bounds"))).otherwise(F.lit(True))).where("_ok")
+    e = F.col(point) - F.col(truth)
+    return checked.groupBy(*keys).agg(F.avg(F.when(F.col(truth).between(F.col(low), F.col(high)), 1.0).otherwise(0.0)).alias("capture"), F.avg(F.col(high) - F.col(low)).alias("sharpness"), F.avg(F.abs(e)).alias("mae"), F.avg(e).alias("bias"))
 
 
 def integer_samples(values: Column, policy: str = "nearest") -> Column:
@@ -119,9 +137,30 @@ def sign_probabilities(df: DataFrame, value: str, *keys: str) -> DataFrame:
 
 
 def interval_metrics(df: DataFrame, truth: str, low: str, high: str, *keys: str) -> DataFrame:
-    """Inclusive coverage and mean width."""
+    """Inclusive coverage and mean width; crossed bounds are refused."""
+    df = df.withColumn("_ok", F.when(F.col(low) > F.col(high), F.raise_error(F.lit("crossed bounds"))).otherwise(F.lit(True))).where("_ok")
     return df.groupBy(*keys).agg(F.avg(F.when(F.col(truth).between(F.col(low), F.col(high)), 1.0).otherwise(0.0)).alias("coverage"), F.avg(F.col(high) - F.col(low)).alias("sharpness"))
 
 
 def brier(truth: Column, probability: Column) -> Column:
     return F.avg((probability - truth) * (probability - truth))
+
+
+def submission_table(rows: DataFrame, targets: list[str], key: str = "timestamp", rows_expected: int | None = 168, samples: int = 300) -> DataFrame:
+    """timestamp, target_0, target_1, ... in the order of ``targets``, checked: scores map columns by position."""
+    missing = [t for t in targets if t not in rows.columns]
+    if missing or len(set(targets)) != len(targets):
+        raise Refused(f"missing or repeated targets: {missing or targets}")
+    table = rows.select(F.col(key).alias("timestamp"), *(F.col(t).alias(f"target_{i}") for i, t in enumerate(targets)))
+    return validate_predictions(table, [f"target_{i}" for i in range(len(targets))], rows=rows_expected, samples=samples)
+
+
+def records_of(outputs: DataFrame, targets: list[str], key: str = "timestamp", name: str = "target", samples: str = "samples") -> DataFrame:
+    """One row for each timestamp from a row for each timestamp and target; a missing, repeated or other target is refused."""
+    wide = outputs.groupBy(key).agg(*(F.max(F.when(F.col(name) == t, F.col(samples))).alias(t) for t in targets), F.count(F.lit(1)).alias("_n"), F.count_distinct(name).alias("_d"))
+    lacking = F.lit(False)
+    for t in targets:
+        lacking = lacking | F.col(t).isNull()
+    from ..guards import refuse_if_any
+
+    return refuse_if_any(wide, missing_or_repeated_target=lacking | (F.col("_n") != len(targets)) | (F.col("_d") != len(targets))).drop("_n", "_d")

@@ -93,7 +93,52 @@ def position_folds(hours: DataFrame, first_forecast: Column, weeks: int, train_h
     return rows.select("hour", F.explode(parts).alias("f")).select("hour", "f.fold", "f.part")
 
 
-def check_weekly(rows: DataFrame, week: int = 168) -> DataFrame:
+def check_weekly(rows: DataFrame, week: int = 168, *keys: str) -> DataFrame:
     """Folds whose forecast does not have one issue time and horizons 1 to ``week``, each once."""
-    seen = rows.groupBy("fold_id").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("issue_time").alias("issues"), F.count_distinct("horizon").alias("horizons"), F.min("horizon").alias("low"), F.max("horizon").alias("high"))
+    seen = rows.groupBy(*(keys or ("fold_id",))).agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("issue_time").alias("issues"), F.count_distinct("horizon").alias("horizons"), F.min("horizon").alias("low"), F.max("horizon").alias("high"))
     return seen.where(~((F.col("rows") == week) & (F.col("issues") == 1) & (F.col("horizons") == week) & (F.col("low") == 1) & (F.col("high") == week)))
+
+
+def precheck(samples: DataFrame) -> DataFrame:
+    """Refuses repeated row ids, and samples that are assigned already."""
+    from ..guards import require_unique
+
+    if "partition" in samples.columns and not samples.where("partition is not null").isEmpty():
+        raise Refused("samples are assigned to a partition already")
+    return require_unique(samples, "row_id")
+
+
+def warm_start_folds(hours: DataFrame, first_forecast: Column, weeks: int, train_hours: int = 672, week: int = 168) -> DataFrame:
+    """``position_folds`` whose weeks end where the first forecast begins."""
+    ranked = hours.withColumn("r", F.row_number().over(Window.orderBy("hour")))  # one row for each hour of the calendar
+    first = ranked.where(F.col("hour") >= first_forecast).agg(F.min("r").alias("r0"))
+    start = ranked.join(F.broadcast(first), F.col("r") == F.col("r0") - weeks * week).select("hour").first()
+    if start is None:
+        raise Refused(f"fewer than {weeks} weeks before the first forecast")
+    return position_folds(hours, F.lit(start["hour"]), weeks, train_hours, week)
+
+
+def history_hours(weeks: int, train_hours: int = 672, week: int = 168, longest_lag: int = 840) -> dict[str, int]:
+    """Hours that a run of ``weeks`` folds needs before and after its first forecast."""
+    return {"before": train_hours + longest_lag, "after": weeks * week, "total": train_hours + longest_lag + weeks * week}
+
+
+def require_history(hours: DataFrame, first_forecast: Column, weeks: int, **lengths: int) -> None:
+    """Refuses a series that is too short, naming what is missing."""
+    need = history_hours(weeks, **lengths)
+    got = hours.agg(F.count_if(F.col("hour") < first_forecast).alias("before"), F.count_if(F.col("hour") >= first_forecast).alias("after")).first()
+    short = [f"{k}: {got[k]} hours, {need[k]} needed" for k in ("before", "after") if got[k] < need[k]]
+    if short:
+        raise Refused("; ".join(short))
+
+
+def nested_weeks(rows: DataFrame, fit: int, calibrate: int) -> DataFrame:
+    """Adds ``part``: the first weeks fit, the next ones calibrate, the others are for show. ``rows`` has week, from 0."""
+    return rows.withColumn("part", F.when(F.col("week") < fit, "fit").when(F.col("week") < fit + calibrate, "calibrate").otherwise("demo"))
+
+
+def origin_weeks(spark: SparkSession, issue: datetime, weeks: int = 12, week: int = 168) -> DataFrame:
+    """week, issue_time, horizon and target_time of consecutive fixed-origin weeks that end at ``issue``."""
+    grid = spark.range(weeks * week).select((F.col("id") / week).cast("int").alias("week"), (F.col("id") % week + 1).cast("int").alias("horizon"))
+    origin = F.lit(issue - timedelta(hours=weeks * week)).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), (F.col("week") * week).cast("int"))
+    return grid.select("week", origin.alias("issue_time"), "horizon", (origin + F.make_dt_interval(F.lit(0), F.col("horizon"))).alias("target_time"))

@@ -12,14 +12,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import normal_points
-from ..guards import Refused
+from ..guards import Refused, refuse_if_any
+from .quality import cumulative, quantiles
 
 
-def residual_panel(residuals: DataFrame, targets: list[str], *keys: str) -> DataFrame:
-    """One row for each key that all targets have: one aggregation instead of a join for each target."""
+def residual_panel(residuals: DataFrame, targets: list[str], *keys: str, strict: bool = False) -> DataFrame:
+    """One row for each key that all targets have: one aggregation instead of a join for each target.
+
+    ``strict`` refuses keys that a target lacks or holds twice; otherwise they are left out.
+    """
     wide = residuals.groupBy(*keys).agg(*(F.max(F.when(F.col("target") == t, F.col("residual"))).alias(t) for t in targets), F.count(F.lit(1)).alias("_n"))
-    full = reduce(lambda a, b: a & b, (F.col(t).isNotNull() for t in targets))
-    return wide.where(full & (F.col("_n") == len(targets))).drop("_n")
+    full = reduce(lambda a, b: a & b, (F.col(t).isNotNull() for t in targets)) & (F.col("_n") == len(targets))
+    if strict:
+        wide = refuse_if_any(wide, incomplete_keys=~full)
+    return wide.where(full).drop("_n")
+
+
+def correlation(panel: DataFrame, targets: list[str]) -> DataFrame:
+    """a, b and r of each pair of targets; 1 on the diagonal, null where a target does not vary."""
+    one = panel.agg(F.count(F.lit(1)).alias("_n"), *(F.corr(a, b).alias(f"_{a}_{b}") for a, b in pair_names(targets) if a != b))
+    cell = lambda a, b: F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), (F.lit(1.0) if a == b else F.when(~F.isnan(f"_{a}_{b}"), F.col(f"_{a}_{b}"))).alias("r"))
+    return one.select(F.explode(F.array(*(cell(a, b) for a, b in pair_names(targets)))).alias("x")).select("x.*")
+
+
+def residual_scale(panel: DataFrame, targets: list[str], *buckets: str) -> DataFrame:
+    """Population deviation of each target's residuals, by bucket."""
+    return panel.groupBy(*buckets).agg(F.count(F.lit(1)).alias("n"), *(F.stddev_pop(t).alias(t) for t in targets))
 
 
 def pair_names(targets: list[str]) -> list[tuple[str, str]]:
@@ -52,15 +70,15 @@ def stability(panel: DataFrame, targets: list[str], order: str, rows: int) -> Da
 
 
 def qq(df: DataFrame, value: str, *keys: str, points: int = 19) -> DataFrame:
-    """Probability, normal quantile and standardised sample quantile at evenly spaced probabilities."""
+    """Probability, normal quantile and sample quantile, as it is, at evenly spaced probabilities."""
     p = normal_points(points)
-    own = df.groupBy(*keys).agg(F.percentile(value, F.array(*(F.lit(a) for a, _ in p))).alias("q"), F.avg(value).alias("m"), F.stddev_pop(value).alias("s"))
-    rows = F.transform(F.arrays_zip(F.array(*(F.lit(a) for a, _ in p)).alias("p"), F.array(*(F.lit(b) for _, b in p)).alias("z"), F.col("q")), lambda x: x)
-    return own.select(*keys, F.explode(rows).alias("x"), "m", "s").select(*keys, F.col("x.p").alias("probability"), F.col("x.z").alias("normal"), F.try_divide(F.col("x.q") - F.col("m"), F.col("s")).alias("sample"))
+    own = quantiles(df, value, [a for a, _ in p], *keys)
+    cells = F.array(*(F.struct(F.lit(a).alias("probability"), F.lit(b).alias("normal"), F.col("q")[i].alias("sample")) for i, (a, b) in enumerate(p)))
+    return own.select(*keys, F.explode(cells).alias("x")).select(*keys, "x.*")
 
 
 def paired_wins(weekly: DataFrame, baseline: str, tolerance: float = 0.0) -> DataFrame:
-    """Weeks in which each method beats the baseline, and whether to keep it: the baseline always is."""
+    """Weeks in which each method is as good as the baseline, and whether to keep it: the baseline always is."""
     base = weekly.where(F.col("method") == baseline).select("week", F.col("score").alias("_base"))
     both = weekly.join(base, "week")
     wins = both.groupBy("method").agg(F.count(F.lit(1)).alias("weeks"), F.count_if(F.col("score") <= F.col("_base") - tolerance).alias("wins"), F.avg("score").alias("mean_score"))
@@ -85,20 +103,161 @@ def cholesky(cov: list[list[float]], tolerance: float = 1e-9) -> list[list[float
 
 
 def draw(seed: int, samples: int, low: list[list[float]], centre: list[float], scale: float = 1.0, freedom: float | None = None) -> list[list[int]]:
-    """Integer samples of each target from one seeded generator: the same for a row wherever it is computed."""
+    """Integer samples of each target from one seeded generator: the same for a row wherever it is computed.
+
+    With ``freedom`` the noise is Student's: chi-square from whole degrees, the factor from ``freedom`` as given.
+    """
     rng, n, root = random.Random(seed), len(centre), math.sqrt(scale)
     out = [[0] * samples for _ in range(n)]
     for k in range(samples):
         z = [rng.gauss(0.0, 1.0) for _ in range(n)]
         shrink = 1.0
         if freedom is not None:
-            d = max(int(freedom), 1)
-            shrink = math.sqrt(d / max(1e-12, sum(rng.gauss(0.0, 1.0) ** 2 for _ in range(d))))
+            chi = sum(rng.gauss(0.0, 1.0) ** 2 for _ in range(max(int(freedom), 1)))
+            shrink = math.sqrt(freedom / max(1e-12, chi))
         for i in range(n):
             out[i][k] = round(centre[i] + root * shrink * sum(low[i][j] * z[j] for j in range(i + 1)))
     return out
 
 
+METHODS = ("independent_gaussian", "correlated_gaussian", "student_t", "empirical_bootstrap", "horizon_covariance")
+
+
+def diagonal(cov: np.ndarray) -> np.ndarray:
+    """Targets without correlation."""
+    return np.diag(np.diag(cov))
+
+
+def noise(rng: np.random.Generator, samples: int, method: str, past: np.ndarray, freedom: float = 6.0) -> np.ndarray:
+    """Samples by targets of residual noise, bias included, from the rows of earlier residuals."""
+    if method == "empirical_bootstrap":
+        return past[rng.integers(0, len(past), samples)]
+    cov = np.cov(past.T, ddof=1).reshape(past.shape[1], past.shape[1])
+    low = np.array(cholesky(diagonal(cov) if method == "independent_gaussian" else cov))
+    z = rng.standard_normal((samples, past.shape[1])) @ low.T
+    if method == "student_t":
+        z *= np.sqrt(freedom / np.maximum(1e-12, (rng.standard_normal((samples, max(int(freedom), 1))) ** 2).sum(1)))[:, None]
+    return past.mean(0) + z
+
+
+def evaluate_samplers(panel: DataFrame, targets: list[str], methods: list[str], *, seed: int, samples: int = 300, coverage: float = 0.9, freedom: float = 6.0, order: str = "timestamp") -> DataFrame:
+    """method, week, score (a loss), capture, sharpness, mae and bias of each week, fitted on the weeks before it only.
+
+    ``panel``: week (consecutive numbers), ``order`` and a residual of each target; with ``horizon_covariance`` also
+    horizon, which is then the bucket and needs two earlier weeks.  A week and its past go to one task: both are
+    bounded by the plan's length.
+    """
+    if set(methods) - set(METHODS):
+        raise Refused(f"unknown methods: {sorted(set(methods) - set(METHODS))}")
+    span = panel.agg(F.min("week").alias("a"), F.max("week").alias("b")).first()
+    if span["a"] is None or span["b"] - span["a"] < (2 if "horizon_covariance" in methods else 1):
+        raise Refused("too few weeks: there must be one to fit on and one to score")
+    bucket_of = F.col("horizon").cast("int") if "horizon_covariance" in methods else F.lit(0)
+    rows = panel.select(F.col("week").cast("int").alias("week"), F.col(order).alias("at"), bucket_of.alias("bucket"), *(F.col(t).cast("double").alias(t) for t in targets))
+    past = rows.where(F.col("week") < span["b"]).withColumn("week", F.explode(F.sequence(F.col("week") + 1, F.lit(int(span["b"]))))).toDF("week", "at_", "bucket_", *(f"{t}_" for t in targets))
+    tail = (1 - coverage) / 2
+
+    def run(key: tuple, own: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if not len(own) or not len(before):
+            return pd.DataFrame({c: [] for c in ("method", "week", "capture", "sharpness", "mae", "bias")})
+        own, before = own.sort_values("at"), before.set_axis(own.columns, axis=1).sort_values("at")
+        truth, history = own[targets].to_numpy(float), before[targets].to_numpy(float)
+        for number, method in enumerate(methods):
+            by_horizon = method == "horizon_covariance"
+            if by_horizon and before.groupby("bucket").size().min() < 2:
+                continue
+            hit, width, error = np.zeros(truth.shape), np.zeros(truth.shape), np.zeros(truth.shape)
+            for i, b in enumerate(own["bucket"]):
+                rng = np.random.default_rng([seed, number, int(key[0]), i])
+                z = noise(rng, samples, method, history[(before["bucket"] == b).to_numpy()] if by_horizon else history, freedom)
+                lo, mid, hi = np.quantile(z, [tail, 0.5, 1 - tail], axis=0)
+                hit[i], width[i], error[i] = (lo <= truth[i]) & (truth[i] <= hi), hi - lo, mid - truth[i]
+            out.append((method, int(key[0]), hit.mean(), width.mean(), np.abs(error).mean(), error.mean()))
+        return pd.DataFrame(out, columns=["method", "week", "capture", "sharpness", "mae", "bias"]).astype({"method": object})
+
+    scored = rows.groupBy("week").cogroup(past.groupBy("week")).applyInPandas(run, "method string, week int, capture double, sharpness double, mae double, bias double")
+    return scored.select("method", "week", placeholder_loss(F.col("mae"), F.col("sharpness"), F.col("capture"), coverage).alias("score"), "capture", "sharpness", "mae", "bias")
+
+
+def method_choice(weekly: DataFrame, default: str, least_weeks: int = 2) -> DataFrame:
+    """week and the method with the least mean score over the weeks before it; ``default`` with too few of them."""
+    past = Window.partitionBy("method").orderBy("week").rowsBetween(Window.unboundedPreceding, -1)  # a row for each week
+    scored = weekly.select("week", "method", F.avg("score").over(past).alias("past"), F.count("score").over(past).alias("n"))
+    return scored.groupBy("week").agg(F.when(F.max("n") < least_weeks, default).otherwise(F.min_by("method", F.struct("past", "method"))).alias("method"))
+
+
+def _noise_quantiles(points: DataFrame, fits: DataFrame, targets: list[str], bucket: Column, key: str, seed: int, samples: int, tail: float) -> DataFrame:
+    """Each row's residual less the bias (``e``) and the low and high quantile of its noise, per target, in long form."""
+    pairs = pair_names(targets)
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False):
+                v = row._asdict()
+                cov = [[v[f"cov_{a}_{b}" if (a, b) in pairs else f"cov_{b}_{a}"] for b in targets] for a in targets]
+                rng = np.random.default_rng([seed, v["h"] & 0x7FFFFFFF])
+                z = rng.standard_normal((samples, len(targets))) @ np.array(cholesky(cov)).T
+                lo, hi = np.quantile(z, [tail, 1 - tail], axis=0)
+                out += [(v["bucket"], t, v[t] - v[f"bias_{t}"], lo[i], hi[i]) for i, t in enumerate(targets)]
+            yield pd.DataFrame(out, columns=["bucket", "target", "e", "low", "high"]).astype({"target": object})
+
+    rows = points.select(bucket.cast("int").alias("bucket"), F.xxhash64(F.col(key).cast("string")).alias("h"), *targets).join(fits, "bucket")
+    return rows.mapInPandas(run, "bucket int, target string, e double, low double, high double")
+
+
+def capture_curve(panel: DataFrame, targets: list[str], scales: list[float], *, key: str, seed: int, samples: int = 300, coverage: float = 0.9) -> DataFrame:
+    """scale, capture and sharpness: the trade-off as the covariance is scaled. Noise is drawn once for all scales."""
+    if not all(s > 0 and math.isfinite(s) for s in scales):
+        raise Refused("scales must be positive")
+    fits = covariance(panel.withColumn("bucket", F.lit(0)), targets, "bucket").drop("n")
+    rows = _noise_quantiles(panel, fits, targets, F.lit(0), key, seed, samples, (1 - coverage) / 2)
+    each = rows.withColumn("scale", F.explode(F.array(*(F.lit(float(s)) for s in scales))))
+    root = F.sqrt("scale")
+    inside = (F.col("e") >= root * F.col("low")) & (F.col("e") <= root * F.col("high"))
+    return each.groupBy("scale").agg(F.avg(inside.cast("double")).alias("capture"), F.avg(root * (F.col("high") - F.col("low"))).alias("sharpness"))
+
+
+def calibrate(fit_panel: DataFrame, panel: DataFrame, targets: list[str], bucket: Column, *, key: str, seed: int, samples: int = 300, coverage: float = 0.5) -> DataFrame:
+    """bucket and the covariance scale, in [0.1, 5], at which central intervals cover ``coverage`` of the residuals.
+
+    ``panel`` must share no row with ``fit_panel``.  A residual is covered from a scale of its own on, so the scale
+    sought is a quantile of these and nothing is drawn twice.
+    """
+    if not 0 < coverage < 1:
+        raise Refused("coverage must be between 0 and 1")
+    if not fit_panel.select(key).join(panel.select(key), key, "left_semi").isEmpty():
+        raise Refused("rows to fit and to calibrate on overlap")
+    fits = covariance(fit_panel.withColumn("bucket", bucket.cast("int")), targets, "bucket").drop("n")
+    rows = _noise_quantiles(panel, fits, targets, bucket, key, seed, samples, (1 - coverage) / 2)
+    side = F.when(F.col("e") >= 0, F.col("high")).otherwise(F.col("low"))
+    least = F.when(F.col("e") == 0, 0.0).when(side * F.col("e") > 0, F.pow(F.col("e") / side, 2)).otherwise(float("inf"))
+    counts = rows.groupBy("bucket", least.alias("s")).agg(F.count(F.lit(1)).alias("n"))
+    ranked = cumulative(counts.withColumn("s", F.least("s", F.lit(1e6))), "s", "n", "bucket").join(counts.groupBy("bucket").agg(F.sum("n").alias("all")), "bucket")
+    enough = ranked.where(F.col("below") + F.col("n") >= coverage * F.col("all")).groupBy("bucket").agg(F.min("s").alias("s"))
+    return enough.select("bucket", F.least(F.lit(5.0), F.greatest(F.lit(0.1), F.col("s"))).alias("scale"))
+
+
+#: Rows of a residual pool that draws are taken from, at most: the bound of what the driver collects.
+MOST_POOL = 20_000
+
+
+def pool_samples(points: DataFrame, pool: DataFrame, targets: list[str], *, key: str, seed: int, samples: int = 300) -> DataFrame:
+    """key and an integer array for each target: the point plus residual rows drawn jointly from ``pool``."""
+    rows = pool.select(*targets).orderBy(*targets).limit(MOST_POOL + 1).toPandas().to_numpy(float)
+    if not 0 < len(rows) <= MOST_POOL:
+        raise Refused(f"the pool must hold 1 to {MOST_POOL} rows")
+
+    def run(batches):
+        for pdf in batches:
+            picks = [rows[np.random.default_rng([seed, int(h) & 0x7FFFFFFF]).integers(0, len(rows), samples)] for h in pdf["_h"]]
+            yield pd.DataFrame({key: pdf[key], **{t: [np.rint(p + r[:, i]).astype(int).tolist() for p, r in zip(pdf[t], picks, strict=True)] for i, t in enumerate(targets)}})
+
+    kind = points.schema[key].dataType.simpleString()
+    return points.select(key, F.xxhash64(F.col(key).cast("string")).alias("_h"), *targets).mapInPandas(run, f"{key} {kind}, " + ", ".join(f"{t} array<int>" for t in targets))
+
+
 def joint_samples(points: DataFrame, targets: list[str], bias: list[float], cov: list[list[float]], *, key: str, seed: int, samples: int = 300, scale: float = 1.0, freedom: float | None = None) -> DataFrame:
     """key and an integer array for each target. Every row's draws depend on the seed and its key alone."""
     low = cholesky(cov)
@@ -112,7 +271,7 @@ def joint_samples(points: DataFrame, targets: list[str], bias: list[float], cov:
     return points.select(key, F.xxhash64(F.col(key).cast("string")).alias("_h"), *targets).mapInPandas(run, f"{key} {kind}, " + ", ".join(f"{t} array<int>" for t in targets))
 
 
-def calibrated_scale(noise_low: np.ndarray, noise_high: np.ndarray, residual: np.ndarray, coverage: float = 0.9, steps: int = 25) -> float:
+def calibrated_scale(noise_low: np.ndarray, noise_high: np.ndarray, residual: np.ndarray, coverage: float = 0.5, steps: int = 25) -> float:
     """The covariance scale in [0.1, 5] whose central interval covers ``coverage`` of the residuals.
 
     Quantiles of the noise are found once: under a scale they move with its root, so no step draws again.

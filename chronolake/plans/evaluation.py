@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from ..functions.scalars import normal_points
-from ..operators import feature_audit, models, scoring, series, splits, uncertainty
+from ..operators import feature_audit, models, oof, scoring, series, splits, uncertainty
 from .resolution import r6
 from .views import ARRAYS, HOURS, SAMP, TARGETS, arrays, at, hours, samples, table
 
@@ -79,12 +79,13 @@ def conditional_oof(spark, d):
     return c.select("fold_id", "row_id", F.size("values").alias("n"), r6(F.array_min("values")).alias("low"), r6(F.array_max("values")).alias("high"))
 
 
-BOTH = f"{PERSIST}, {SEASON}, ev as (select * from pers union all select * from seas where prediction is not null)"
+HOURMEAN = "own as (select fold_id, hod, avg(target) as m from assigned where partition = 'train' group by 1, 2), whole as (select fold_id, avg(target) as g from assigned where partition = 'train' group by 1), hmean as (select v.fold_id, v.row_id, 'hod_mean' as model_id, v.issue_time, v.target_time, v.target as truth, coalesce(m, g) as prediction from assigned v left join own on own.fold_id = v.fold_id and own.hod = v.hod left join whole on whole.fold_id = v.fold_id where v.partition = 'validation')"
+#: A candidate that lacks one case is given up: the others are compared on equal cases.
+BOTH = f"{PERSIST}, {SEASON}, {HOURMEAN}, every as (select * from pers union all select * from seas union all select * from hmean), ev as (select * from every where model_id not in (select model_id from every where prediction is null))"
 
 
 def evidence(spark, d):
-    a = assigned(spark, d)
-    return models.persistence(a).unionByName(models.seasonal(a, 24).where("prediction is not null"))
+    return models.eligible(oof.point_candidates(assigned(spark, d), 24, "hod"))
 
 
 @query(f"with {BOTH} select model_id, count(*) as rows, round(avg(abs(prediction - truth)), 6) as mae, round(sqrt(avg(pow(prediction - truth, 2))), 6) as rmse, round(avg(prediction - truth), 6) as bias from ev group by 1")
@@ -122,18 +123,22 @@ def causal_model_choice(spark, d):
     return models.causal_choice(weekly).withColumn("past_mae", r6("past_mae"))
 
 
-@query(f"with {BOTH}, s as (select fold_id, model_id, avg(abs(prediction - truth)) as mae, avg(case when abs(prediction - truth) <= 5 then 1.0 else 0.0 end) as coverage from ev group by 1, 2) select model_id, round(avg(mae), 6) as mae_mean, round(quantile_cont(mae, 0.5), 6) as mae_median, round(max(mae), 6) as mae_worst, round(stddev_pop(mae), 6) as mae_std, round(min(coverage), 6) as coverage_worst from s group by 1")
+_SIX = ("mae", "rmse", "bias", "coverage")
+
+
+@query(f"with {BOTH}, s as (select fold_id, model_id, avg(abs(prediction - truth)) as mae, sqrt(avg(pow(prediction - truth, 2))) as rmse, avg(prediction - truth) as bias, avg(case when abs(prediction - truth) <= 5 then 1.0 else 0.0 end) as coverage from ev group by 1, 2) select model_id, "
+       + ", ".join(f"round(avg({m}), 6) as {m}_mean, round(quantile_cont({m}, 0.5), 6) as {m}_median, round({'min' if m == 'coverage' else 'max'}({m}), 6) as {m}_worst, round(stddev_pop({m}), 6) as {m}_std" for m in _SIX) + " from s group by 1")
 def fold_summary(spark, d):
-    e = evidence(spark, d)
-    per = e.groupBy("fold_id", "model_id").agg(F.avg(F.abs(F.col("prediction") - F.col("truth"))).alias("mae"), F.avg(F.when(F.abs(F.col("prediction") - F.col("truth")) <= 5, 1.0).otherwise(0.0)).alias("coverage"))
-    out = models.fold_summary(per, "model_id")
+    e = F.col("prediction") - F.col("truth")
+    per = evidence(spark, d).groupBy("fold_id", "model_id").agg(F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(e).alias("bias"), F.avg(F.when(F.abs(e) <= 5, 1.0).otherwise(0.0)).alias("coverage"))
+    out = models.fold_summary(per, "model_id", metrics=_SIX, worst={"coverage": "min"})
     return out.select("model_id", *(r6(c).alias(c) for c in out.columns[1:]))
 
 
-@query(f"with {BOTH}, s as (select fold_id, model_id as scenario, avg(abs(prediction - truth)) as mae from ev group by 1, 2) select a.fold_id, round(a.mae, 6) as base_mae, round(b.mae, 6) as candidate_mae, round(a.mae - b.mae, 6) as gain from s a join s b using (fold_id) where a.scenario = 'persistence' and b.scenario = 'seasonal_24h'")
+@query(f"with {BOTH}, s as (select fold_id, model_id as scenario, avg(abs(prediction - truth)) as mae from ev group by 1, 2) select a.fold_id, round(a.mae, 6) as base_mae, round(b.mae, 6) as candidate_mae, round(a.mae - b.mae, 6) as gain from s a join s b using (fold_id) where a.scenario = 'persistence' and b.scenario = 'hod_mean'")
 def ablation_delta(spark, d):
     board = models.scoreboard(evidence(spark, d), "fold_id", "model_id").withColumnRenamed("model_id", "scenario")
-    out = models.ablation(board, "persistence", "seasonal_24h", "fold_id")
+    out = models.ablation(board, "persistence", "hod_mean", "fold_id")
     return out.select("fold_id", *(r6(c).alias(c) for c in ("base_mae", "candidate_mae", "gain")))
 
 
@@ -209,7 +214,7 @@ def covariance_stability(spark, d):
     return uncertainty.stability(panel(spark, d), TARGETS, "hour", 50).withColumn("deviation", r6("deviation"))
 
 
-@query(f"with {RESID} select target, " + "unnest([" + ", ".join(f"{{'p': {p!r}::double, 'z': {z!r}::double, 'q': (quantile_cont(residual, {p!r}) - avg(residual)) / stddev_pop(residual)}}" for p, z in normal_points()) + f"]) as u from r where target in ({', '.join(repr(t) for t in TARGETS)}) group by 1")
+@query(f"with {RESID} select target, " + "unnest([" + ", ".join(f"{{'p': {p!r}::double, 'z': {z!r}::double, 'q': quantile_cont(residual, {p!r})}}" for p, z in normal_points()) + f"]) as u from r where target in ({', '.join(repr(t) for t in TARGETS)}) group by 1")
 def _qq(spark, d):
     return uncertainty.qq(residuals(spark, d), "residual", "target")
 
@@ -238,7 +243,7 @@ def table_score(spark, d):
 (select count(*) from a where vec_id not in (select vec_id from a where vec_id % 50 <> 0)) as unmatched from a""")
 def submission_guard(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("int")).alias("x"))
-    left = e.join(e.where("vec_id % 50 <> 0").select("vec_id"), "vec_id", "left_anti").agg(F.count(F.lit(1)).alias("unmatched"))
+    left = scoring.unmatched_keys(e, e.where("vec_id % 50 <> 0"), "vec_id").agg(F.count(F.lit(1)).alias("unmatched"))
     return scoring.submission_counts(e, ["x"], "vec_id", 64).crossJoin(left)
 
 
@@ -265,9 +270,19 @@ def paired_wins(spark, d):
     return uncertainty.paired_wins(weekly, "persistence").withColumn("mean_score", r6("mean_score"))
 
 
-@query()
+#: Two features in closed form: each filled with its mean, scaled by its deviation, the slopes penalised by 10.
+_RIDGE = f"""{ASSIGNED}, t as (select * from assigned where partition = 'train' and target is not null),
+m as (select fold_id, count(*) as n, avg(hod) as ma, coalesce(nullif(stddev_pop(hod), 0), 1) as sa, avg(now_value) as mb, coalesce(nullif(stddev_pop(now_value), 0), 1) as sb, avg(target) as my from t group by 1),
+z as (select fold_id, (hod - ma) / sa as a, (coalesce(now_value, mb) - mb) / sb as b, target - my as y from t join m using (fold_id)),
+g as (select fold_id, sum(a * a) + 10 as aa, sum(a * b) as ab, sum(b * b) + 10 as bb, sum(a * y) as ay, sum(b * y) as by_ from z group by 1),
+c as (select fold_id, (ay * bb - by_ * ab) / (aa * bb - ab * ab) as ca, (by_ * aa - ay * ab) / (aa * bb - ab * ab) as cb from g)
+select v.fold_id, v.row_id, 'ridge' as model_id, v.issue_time, v.target_time, round(v.target, 6) as truth, round(my + ca * (v.hod - ma) / sa + cb * (coalesce(v.now_value, mb) - mb) / sb, 6) as prediction
+from assigned v left join m on m.fold_id = v.fold_id and m.n >= 2 left join c on c.fold_id = v.fold_id where v.partition = 'validation'"""
+
+
+@query(f"with {_RIDGE}")
 def ridge_oof(spark, d):
-    return models.fitted(assigned(spark, d), "ridge", models.Ridge)
+    return models.fitted(assigned(spark, d), "ridge", models.Ridge).withColumns({"truth": r6("truth"), "prediction": r6("prediction")})
 
 
 @query()

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalars import number
-from ..operators import pit, quality
+from ..operators import pit, quality, scoring
+from ..operators.graph import ancestors
 from .views import ISSUE, OBS, at, observations, table
 
 QUERIES: dict = {}
@@ -155,7 +156,7 @@ def topk_horizons(spark, d):
 def set_difference_sources(spark, d):
     obs = observations(spark, d).select("source_id", "source_record_id", "known_at")
     early = obs.where(F.col("known_at") <= at("2024-01-03 00:00:00")).drop("known_at")
-    return obs.drop("known_at").subtract(early).select("source_id").distinct()
+    return scoring.unmatched_keys(obs, early, "source_id", "source_record_id").select("source_id").distinct()
 
 
 @query("""with recursive edges as (select 'n' || n_nationkey as child, 'r' || n_regionkey as parent from nation union all select 'r' || r_regionkey, 'world' from region union all select 's' || s_suppkey, 'n' || s_nationkey from supplier),
@@ -167,5 +168,4 @@ def dag_ancestors(spark, d):
         .unionByName(table(spark, d, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("child"), F.lit("world").alias("parent")))
         .unionByName(table(spark, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("child"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("parent")))
     )
-    return spark.sql("""with recursive up(node, ancestor) as (select child, parent from {e} union all select u.node, e.parent from up u join {e} e on e.child = u.ancestor)
-select distinct node, ancestor from up""", e=edges)
+    return ancestors(edges)

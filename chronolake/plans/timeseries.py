@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import quality, series
+from ..operators import series
+from ..sources import readers
 from .resolution import I, r6
 from .views import HOURS, OBS, TARGETS, at, hours, observations, table
 
@@ -20,10 +21,10 @@ def query(sql: str | None = None):
 
 
 @query("""select o_custkey % 7 as key, date_trunc('hour', t) as hour, round(avg(o_totalprice), 4) as value from (
-  select o_custkey, o_totalprice, o_orderdate + to_minutes(cast(15 * (o_orderkey % 5) as int)) as t from orders where o_orderkey % 11 <> 0)
-group by 1, 2 having count(o_totalprice) = 4 and count(distinct case when epoch_us(t) % 900000000 = 0 then t end) = 4""")
+  select o_custkey, case when o_orderkey % 11 <> 0 then o_totalprice end as o_totalprice, o_orderdate + to_minutes(cast(15 * (o_orderkey % 5) as int)) as t from orders)
+group by 1, 2 having count(o_totalprice) = 4 and count(distinct case when o_totalprice is not null and epoch_us(t) % 900000000 = 0 then t end) = 4""")
 def hourly_complete_mean(spark, d):
-    rows = table(spark, d, "orders").where("o_orderkey % 11 <> 0").select((F.col("o_custkey") % 7).alias("key"), F.col("o_totalprice").alias("value"), (F.col("o_orderdate") + F.make_dt_interval(F.lit(0), F.lit(0), (15 * (F.col("o_orderkey") % 5)).cast("int"))).alias("t"))
+    rows = table(spark, d, "orders").select((F.col("o_custkey") % 7).alias("key"), F.when(F.col("o_orderkey") % 11 != 0, F.col("o_totalprice")).alias("value"), (F.col("o_orderdate") + F.make_dt_interval(F.lit(0), F.lit(0), (15 * (F.col("o_orderkey") % 5)).cast("int"))).alias("t"))
     return series.complete_hourly_mean(rows, "t", ["key"], "value").withColumn("value", F.round("value", 4))
 
 
@@ -152,10 +153,8 @@ def fold_standard_scale(spark, d):
     return series.standard_scale(table(spark, d, "events"), F.col("ts") < at(), ["value"]).select("event_id", r6("value").alias("value"))
 
 
-@query("select unit, count(*) as n from (select case when event_id % 97 = 0 then 'kW' else 'MW' end as unit, ts from events) where ts >= timestamp '2024-01-10' and ts < timestamp '2024-01-20' group by 1")
+@query("select count(*) as n, round(sum(value), 4) as total, min(ts) as first from events where ts >= timestamp '2024-01-10' and ts < timestamp '2024-01-20'")
 def range_scan(spark, d):
-    obs = observations(spark, d)
-    return obs.where((F.col("event_time") >= at("2024-01-10 00:00:00")) & (F.col("event_time") < at("2024-01-20 00:00:00"))).groupBy("unit").agg(F.count(F.lit(1)).alias("n"))
-
-
-_ = quality
+    table(spark, d, "events").createOrReplaceTempView("chronolake_range_scan")
+    rows = readers.table_range(spark, "chronolake_range_scan", "ts", "2024-01-10 00:00:00", "2024-01-20 00:00:00")
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"), F.min("ts").alias("first"))

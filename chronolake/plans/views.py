@@ -26,6 +26,14 @@ samp as (
     a.h + interval 2 hour as label_known_at, extract(hour from a.h) as hod, a.v as now_value, b.v as target
   from tot a join tot b on b.h = a.h + interval 1 hour)"""
 
+#: Samples of each target at the hours where all four have one.
+TSAMP = f"""{HOURS},
+tsamp as (
+  select a.source_id as target_name, 'r' || strftime(a.hour, '%Y%m%d%H') as row_id, a.hour as issue_time, a.hour + interval 1 hour as target_time, a.hour as feature_known_at,
+    a.hour + interval 2 hour as label_known_at, extract(hour from a.hour) as hod, a.value as now_value, b.value as target
+  from hours a join hours b on b.source_id = a.source_id and b.hour = a.hour + interval 1 hour where a.source_id in ({", ".join(repr(t) for t in TARGETS)})
+  qualify count(*) over (partition by a.hour) = 4)"""
+
 ARRAYS = """arrays as (
   select vec_id, list_transform(embedding, lambda x: cast(round_even(cast(x as double) * 1000, 0) as int)) as samples, cast(embedding[1] as double) * 1000 as first from embeddings),
 pairs as (select a.vec_id, a.samples, b.first as truth from arrays a join arrays b on b.vec_id = a.vec_id + 1)"""
@@ -66,6 +74,17 @@ def samples(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def target_samples(spark: SparkSession, d: str) -> DataFrame:
+    h = hours(spark, d).where(F.col("source_id").isin(*TARGETS)).select(F.col("source_id").alias("target_name"), "hour", "value")
+    one = F.make_dt_interval(F.lit(0), F.lit(1))
+    rows = h.join(h.select("target_name", (F.col("hour") - one).alias("hour"), F.col("value").alias("target")), ["target_name", "hour"])
+    whole = rows.groupBy("hour").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(TARGETS)).select("hour")
+    return rows.join(whole, "hour").select(
+        "target_name", F.concat(F.lit("r"), F.date_format("hour", "yyyyMMddHH")).alias("row_id"), F.col("hour").alias("issue_time"), (F.col("hour") + one).alias("target_time"), F.col("hour").alias("feature_known_at"),
+        (F.col("hour") + one + one).alias("label_known_at"), F.hour("hour").alias("hod"), F.col("value").alias("now_value"), "target", F.array(F.hour("hour").cast("double"), F.col("value")).alias("features"),
+    )
+
+
 def arrays(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
     own = e.select("vec_id", F.transform("embedding", lambda x: F.rint(x.cast("double") * 1000).cast("int")).alias("samples"))

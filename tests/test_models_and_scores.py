@@ -77,7 +77,7 @@ def test_cholesky_and_scale():
         uncertainty.cholesky([[1.0, 2.0], [2.0, 1.0]])
     rng = np.random.default_rng(0)
     r = rng.normal(0, 2, 4000)
-    s = uncertainty.calibrated_scale(np.full(4000, -1.645), np.full(4000, 1.645), r)
+    s = uncertainty.calibrated_scale(np.full(4000, -1.645), np.full(4000, 1.645), r, coverage=0.9)
     assert abs(s - 4) < 0.4
 
 
