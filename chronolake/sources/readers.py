@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import io
-import re
+import os
 import zipfile
 from collections.abc import Iterator
+from itertools import islice
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -70,11 +71,20 @@ def source_contracts(rows: DataFrame) -> DataFrame:
     return got.drop("c", "d")
 
 
-def table_range(spark: SparkSession, table: str, time: str, start: str, end: str) -> DataFrame:
-    """Half-open range of a table, numbers as doubles: both the range and the columns reach the scan."""
+def table_range(spark: SparkSession, table: str, time: str, start: str, end: str, zone: str | None = None) -> DataFrame:
+    """Half-open range of a table, numbers as doubles: both the range and the columns reach the scan.
+
+    ``zone``: the bounds are UTC and the column holds that zone's wall time; it is given back in UTC.  The bounds are
+    moved, not the column, so the scan still prunes by them.
+    """
     rows = spark.table(table)
     names = numeric_columns(rows, time)
-    return rows.where((F.col(time) >= F.lit(start).cast(rows.schema[time].dataType)) & (F.col(time) < F.lit(end).cast(rows.schema[time].dataType))).select(time, *(F.col(n).cast("double").alias(n) for n in names))
+    kind = rows.schema[time].dataType
+    bound = lambda text: (F.from_utc_timestamp(F.lit(text).cast("timestamp"), zone) if zone else F.lit(text)).cast(kind)
+    rows = rows.where((F.col(time) >= bound(start)) & (F.col(time) < bound(end)))
+    if zone:
+        rows = rows.withColumn(time, F.to_utc_timestamp(F.col(time), zone).cast(kind))
+    return rows.select(time, *(F.col(n).cast("double").alias(n) for n in names))
 
 
 def table_family(spark: SparkSession, database: str, prefix: str, time: str, column: str) -> DataFrame:
@@ -111,50 +121,70 @@ def first_existing(spark: SparkSession, *paths: str) -> str | None:
     return None
 
 
-# -- workbooks
-
-_NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "r": "http://schemas.openxmlformats.org/officeDocument/2006/relationships"}
-
-
-def sheet_cells(data: bytes, sheet: str | None = None) -> list[list[str]]:
-    """Rows of texts of one sheet; cells that the file leaves out are empty texts."""
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
-        shared = []
-        if "xl/sharedStrings.xml" in z.namelist():
-            for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).findall("m:si", _NS):
-                shared.append("".join(t.text or "" for t in si.iter(f"{{{_NS['m']}}}t")))
-        part = "xl/worksheets/sheet1.xml"
-        if sheet is not None:
-            book = ElementTree.fromstring(z.read("xl/workbook.xml"))
-            links = {x.get("Id"): x.get("Target") for x in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
-            found = [s.get(f"{{{_NS['r']}}}id") for s in book.iter(f"{{{_NS['m']}}}sheet") if s.get("name") == sheet]
-            if not found:
-                raise Refused(f"no sheet {sheet!r}")
-            part = "xl/" + links[found[0]].removeprefix("/xl/")
-        out = []
-        for row in ElementTree.fromstring(z.read(part)).iter(f"{{{_NS['m']}}}row"):
-            cells: list[str] = []
-            for c in row.findall("m:c", _NS):
-                at = 0
-                for ch in re.match("[A-Z]+", c.get("r", "A")).group():
-                    at = at * 26 + ord(ch) - 64
-                cells += [""] * (at - len(cells))
-                v, inline = c.find("m:v", _NS), c.find("m:is", _NS)
-                text = "".join(t.text or "" for t in inline.iter(f"{{{_NS['m']}}}t")) if inline is not None else (v.text if v is not None else "") or ""
-                cells[at - 1] = shared[int(text)] if c.get("t") == "s" and text else text
-            out.append(cells)
-        width = max(map(len, out), default=0)
-        return [r + [""] * (width - len(r)) for r in out]
-
-
-def workbooks(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
-    """path, row and cells of every workbook below a path, parsed where the files are read."""
+# -- workbooks: a zip of XML parts, read one row at a time
+
+_SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+_RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+
+
+def _elements(book: zipfile.ZipFile, part: str, tag: str) -> Iterator[ElementTree.Element]:
+    """Elements of one kind as the part is parsed; each is emptied once it has been used."""
+    with book.open(part) as stream:
+        for _, element in ElementTree.iterparse(stream):
+            if element.tag == tag:
+                yield element
+                element.clear()
+
+
+def _written(element: ElementTree.Element | None) -> str:
+    """The text of an element's runs."""
+    return "" if element is None else "".join(t.text or "" for t in element.iter(_SHEET + "t"))
+
+
+def column_number(reference: str) -> int:
+    """The column of a cell reference, A as 0: letters are digits from 1 to 26."""
+    letters = reference.rstrip("0123456789")
+    return sum((ord(c) - 64) * 26**k for k, c in enumerate(reversed(letters))) - 1
+
+
+def sheet_part(book: zipfile.ZipFile, sheet: str | None) -> str:
+    """The part that holds a sheet: the first, or that of a name."""
+    if sheet is None:
+        return "xl/worksheets/sheet1.xml"
+    ids = {e.get("name"): e.get(_RELATION) for e in _elements(book, "xl/workbook.xml", _SHEET + "sheet")}
+    if sheet not in ids:
+        raise Refused(f"no sheet {sheet!r}")
+    package = "{http://schemas.openxmlformats.org/package/2006/relationships}Relationship"
+    target = next(e.get("Target") for e in _elements(book, "xl/_rels/workbook.xml.rels", package) if e.get("Id") == ids[sheet])
+    return target.lstrip("/") if target.startswith("/") else f"xl/{target}"
+
+
+def sheet_rows(data: bytes, sheet: str | None = None) -> Iterator[list[str]]:
+    """Rows of texts up to their last cell; cells that the file leaves out are empty texts.
+
+    Only the table of shared texts is held, never a sheet.
+    """
+    with zipfile.ZipFile(io.BytesIO(data)) as book:
+        texts = [_written(e) for e in _elements(book, "xl/sharedStrings.xml", _SHEET + "si")] if "xl/sharedStrings.xml" in book.namelist() else []
+        for row in _elements(book, sheet_part(book, sheet), _SHEET + "row"):
+            own: dict[int, str] = {}
+            for cell in row.iterfind(_SHEET + "c"):
+                place = column_number(cell.get("r")) if cell.get("r") else len(own)
+                value = cell.findtext(_SHEET + "v") or ""
+                kind = cell.get("t")
+                own[place] = texts[int(value)] if kind == "s" and value else _written(cell.find(_SHEET + "is")) if kind == "inlineStr" else value
+            yield [own.get(k, "") for k in range(max(own, default=-1) + 1)]
+
+
+def workbooks(spark: SparkSession, path: str, sheet: str | None = None, batch: int = 2000) -> DataFrame:
+    """path, row and cells of every workbook below a path, parsed where the files are read, some rows at a time."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for p, data in zip(pdf["path"], pdf["content"], strict=True):
-                rows = sheet_cells(bytes(data), sheet)
-                yield pd.DataFrame({"path": p, "row": range(len(rows)), "cells": rows})
+                rows = enumerate(sheet_rows(bytes(data), sheet))
+                while some := list(islice(rows, batch)):
+                    yield pd.DataFrame({"path": p, "row": [k for k, _ in some], "cells": [c for _, c in some]})
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, row int, cells array<string>")
 
@@ -182,3 +212,60 @@ def revision_activity(rows: DataFrame, time: str, delta: str | None = None) -> D
 
     n = F.sum(F.abs(F.coalesce(number(F.col(delta)), F.lit(0.0)))) if delta else F.count(F.lit(1)).cast("double")
     return rows.groupBy(F.col(time).alias("known_at")).agg(n.alias("value"))
+
+
+def publication_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Columns of a CSV as texts, without a byte order mark; bytes that are no UTF-8 become the replacement sign."""
+    rows = spark.read.option("header", True).option("encoding", "UTF-8").csv(path)
+    return rows.select(*(F.col(f"`{c}`").alias(c.lstrip("\ufeff").strip()) for c in rows.columns))
+
+
+def daily_unavailability(rows: DataFrame, time: str = "issue_time_utc", value: str = "total_unavailable_mw_h0", order: str | None = None) -> DataFrame:
+    """known_at and value of daily rows; of several rows of one time the last in the file's order wins."""
+    from ..functions.scalars import number, utc_time
+
+    place = F.col(order) if order else F.monotonically_increasing_id()
+    own = rows.select(F.coalesce(utc_time(F.col(time)), F.try_to_timestamp(F.col(time))).alias("known_at"), number(F.col(value)).alias("value"), place.alias("_at")).where("known_at is not null and value is not null")
+    return own.groupBy("known_at").agg(F.max_by("value", "_at").alias("value"))
+
+
+def resolve_root(given: str | None, variable: str, *defaults: str) -> str | None:
+    """The folder given, else that of an environment variable, else the first default that exists."""
+    for path in (given, os.environ.get(variable), *defaults):
+        if path and (path == given or os.path.isdir(path)):
+            return path
+    return None
+
+
+def family(spark: SparkSession, files: dict[str, str], readers: dict) -> tuple[DataFrame | None, list[dict]]:
+    """One long table of feature, known_at and value, and what became of each file: selected, or rejected and why."""
+    out, inventory = None, []
+    for name, path in sorted(files.items()):
+        try:
+            if first_existing(spark, path) is None:
+                raise Refused("no such file")
+            rows = readers[name](spark, path).select(F.lit(name).alias("feature"), "known_at", "value")
+            out = rows if out is None else out.unionByName(rows)
+            inventory.append({"feature": name, "path": path, "status": "selected", "reason": ""})
+        except (Refused, KeyError) as error:
+            inventory.append({"feature": name, "path": path, "status": "rejected", "reason": str(error)})
+    return out, inventory
+
+
+#: Domains, units and levels of the synthetic sources.
+SYNTHETIC = (("load", "MW", 900.0), ("net_position", "MW", 100.0), ("nuclear", "MW", 400.0), ("price", "EUR/MWh", 60.0), ("solar", "MW", 200.0), ("wind", "MW", 150.0))
+
+
+def synthetic(spark: SparkSession, first: str, hours: int, seed: int = 0) -> DataFrame:
+    """Hourly revisions of six domains that depend on the seed alone, with gaps, late receipts, revisions and nulls."""
+    sources = F.explode(F.array(*(F.struct(F.lit(d).alias("source_id"), F.lit(u).alias("unit"), F.lit(v).alias("level")) for d, u, v in SYNTHETIC)))
+    rows = spark.range(hours).select("id", sources.alias("s")).select("id", "s.*")
+    noise = lambda k: F.pmod(F.xxhash64("id", "source_id", F.lit(seed), F.lit(k)), F.lit(10_000)) / 10_000
+    time = F.lit(first).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.col("id").cast("int"))
+    rows = rows.where(noise(1) >= 0.02).withColumn("revision_sequence", F.explode(F.when(noise(2) < 0.05, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    late = F.when(noise(3) < 0.1, 6).otherwise(1) + 12 * F.col("revision_sequence")
+    value = F.col("level") * (1 + 0.2 * F.sin(2 * F.pi() * F.col("id") / 24) + 0.05 * (noise(4) - 0.5) + 0.01 * F.col("revision_sequence"))
+    return rows.select(
+        "source_id", F.concat_ws("-", "source_id", F.col("id").cast("string")).alias("source_record_id"), "revision_sequence", "unit", time.alias("event_time"), time.alias("valid_time"),
+        (time + F.make_dt_interval(F.lit(0), late.cast("int"))).alias("known_at"), F.when(noise(5) >= 0.03, value).alias("value"),
+    )

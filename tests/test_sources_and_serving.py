@@ -38,7 +38,7 @@ def test_workbook(spark, tmp_path):
         z.writestr("xl/worksheets/sheet1.xml", sheet)
     (tmp_path / "b.xlsx").write_bytes(out.getvalue())
     cells = readers.workbooks(spark, str(tmp_path / "b.xlsx"))
-    assert [r.cells for r in cells.orderBy("row").collect()] == [["date", "", "PNX02"], ["", "", ""], ["45292", "", "7.5"]]
+    assert [r.cells for r in cells.orderBy("row").collect()] == [["date", "", "PNX02"], [], ["45292", "", "7.5"]]
     row = readers.price_series(cells, "price").first()
     assert (row.ts, row.value, row.known_at) == (datetime(2024, 1, 1, 0, 0), 7.5, datetime(2023, 12, 31, 11, 0))
 
