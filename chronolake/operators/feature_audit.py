@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quality import cumulative
+
 
 def pairs(df: DataFrame, x: str, y: str, *keys: str) -> DataFrame:
     """Finite pairs of doubles."""
@@ -20,10 +22,9 @@ def pearson(x: str = "x", y: str = "y") -> Column:
 
 
 def average_ranks(df: DataFrame, column: str, name: str, *keys: str) -> DataFrame:
-    """Mean rank of ties, from counts of distinct values: equal values are one row before anything is sorted."""
+    """Mean rank of ties, from counts of distinct values: equal values are one row before anything is ranked."""
     counts = df.groupBy(*keys, column).agg(F.count(F.lit(1)).alias("_n"))
-    below = Window.partitionBy(*keys).orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.select(*keys, column, (F.coalesce(F.sum("_n").over(below), F.lit(0)) + (F.col("_n") + 1) / 2.0).alias(name))
+    ranks = cumulative(counts, column, "_n", *keys).select(*keys, column, (F.col("below") + (F.col("_n") + 1) / 2.0).alias(name))
     return df.join(ranks, [*keys, column])
 
 
@@ -54,6 +55,14 @@ def univariate_oof(assigned: DataFrame, feature: str) -> DataFrame:
     return rows.groupBy("fold_id").agg(F.avg(F.abs(F.coalesce("_own", "_all") - F.col("target"))).alias("mae"), F.count(F.lit(1)).alias("rows"))
 
 
+def report(df: DataFrame, x: str, y: str, *keys: str) -> DataFrame:
+    """Missing share, correlation, rank correlation and mutual information of each feature with the target."""
+    bad = F.col(x).isNull() | F.isnan(F.col(x).cast("double"))
+    missing = df.groupBy(*keys).agg((F.count_if(bad) / F.count(F.lit(1))).alias("missing_fraction"))
+    found = correlations(df, x, y, *keys).join(mutual_information(df, x, y, *keys), list(keys))
+    return missing.join(found, list(keys), "left")
+
+
 def recommend(audited: DataFrame, *, most_missing: float = 0.5, least_abs: float = 0.05, least_mi: float = 0.01) -> DataFrame:
     """KEEP, DROP or UNDECIDED by an ordered chain."""
     weak = (F.abs("pearson") < least_abs) & (F.abs("spearman") < least_abs) & (F.col("mutual_information") < least_mi)

@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from ..guards import Refused, refuse_if_any
 
 KEY = ("source_id", "source_record_id")
-#: Issue times that travel as one literal; more of them are joined by day.
-MOST_LITERAL_ISSUES = 5000
 
 
 def available(known_at: Column, issue: Column | datetime) -> Column:
@@ -50,22 +48,28 @@ def validity(obs: DataFrame) -> DataFrame:
 def as_of_many(obs: DataFrame, issues: DataFrame) -> DataFrame:
     """issue, key and sequence in force, for many issue times (column ``issue``).
 
-    Up to MOST_LITERAL_ISSUES issues are met inside each interval's row, without a join; more are joined by day.
+    A revision in force is sent to the days of its validity that have an issue, and meets the issues of each day there.
+    The driver collects the days, not the issues.
     """
     spans = validity(obs)
-    some = [r["issue"] for r in issues.select("issue").distinct().orderBy("issue").limit(MOST_LITERAL_ISSUES + 1).collect()]
-    if len(some) <= MOST_LITERAL_ISSUES:
-        kind = spans.schema["known_at"].dataType
-        at = F.array(*(F.lit(str(i)).cast(kind) for i in some)) if some else F.array().cast(f"array<{kind.simpleString()}>")
-        own = F.filter(at, lambda i: (i >= F.col("known_at")) & (F.col("next_known_at").isNull() | (i < F.col("next_known_at"))))
-        return spans.select(F.explode(own).alias("issue"), *KEY, "revision_sequence")
-    last = issues.agg(F.max("issue")).first()[0]
-    kind = spans.schema["known_at"].dataType
-    end = F.least(F.coalesce("next_known_at", F.lit(str(last)).cast(kind)), F.lit(str(last)).cast(kind))
-    days = spans.where(F.col("known_at") <= end).withColumn("day", F.explode(F.sequence(F.to_date("known_at"), F.to_date(end))))
+    days = [r["day"] for r in issues.select(F.to_date("issue").alias("day")).where("day is not null").distinct().orderBy("day").collect()]
+    asked = F.array(*(F.lit(d) for d in days)) if days else F.array().cast("array<date>")
+    own = F.filter(asked, lambda d: (d >= F.to_date("known_at")) & (F.col("next_known_at").isNull() | (d <= F.to_date("next_known_at"))))
     met = issues.select("issue", F.to_date("issue").alias("day")).distinct()
     inside = (F.col("issue") >= F.col("known_at")) & (F.col("next_known_at").isNull() | (F.col("issue") < F.col("next_known_at")))
-    return days.join(met, "day").where(inside).select("issue", *KEY, "revision_sequence")
+    return spans.withColumn("day", F.explode(own)).join(met, "day").where(inside).select("issue", *KEY, "revision_sequence")
+
+
+def resolve_sources(sources: list[DataFrame], issue: Column, *payload: str) -> DataFrame:
+    """``resolve`` of several sources at once; a key that two of them hold is refused."""
+    if not sources:
+        raise Refused("no sources")
+    rows = sources[0].withColumn("_s", F.lit(0))
+    for k, s in enumerate(sources[1:], 1):
+        rows = rows.unionByName(s.withColumn("_s", F.lit(k)))
+    if not rows.groupBy(*KEY).agg(F.min("_s").alias("a"), F.max("_s").alias("b")).where("a <> b").isEmpty():
+        raise Refused("a key stands in several sources")
+    return resolve(rows.drop("_s"), issue, *payload)
 
 
 def in_horizon(rows: DataFrame, issue: Column, least_hours: int, most_hours: int, time: str = "event_time") -> DataFrame:

@@ -51,18 +51,50 @@ def gaps(obs: DataFrame) -> DataFrame:
     return out.withColumn("gap_us", micros("next_time") - micros("event_time"))
 
 
+def cumulative(counts: DataFrame, value: str, n: str, *keys: str, bins: int = 1024) -> DataFrame:
+    """Adds ``below``: the rows of a key with a smaller value. ``counts``: a row for each distinct value and its count.
+
+    Values are cut into bins of equal width between a key's least and greatest; counts are summed over bins first, so
+    a key with most of the rows is ranked by as many tasks as it has bins.
+    """
+    ends = counts.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    place = F.when(F.col("_hi") > F.col("_lo"), F.least(F.lit(bins - 1), F.floor((F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins))).otherwise(0).cast("int")
+    binned = counts.join(ends, list(keys)).withColumn("_bin", place).drop("_lo", "_hi")
+    before = lambda *part, order: Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    starts = binned.groupBy(*keys, "_bin").agg(F.sum(n).alias("_k")).withColumn("_start", F.coalesce(F.sum("_k").over(before(*keys, order="_bin")), F.lit(0))).drop("_k")
+    inside = F.coalesce(F.sum(n).over(before(*keys, "_bin", order=value)), F.lit(0))
+    return binned.join(starts, [*keys, "_bin"]).withColumn("below", F.col("_start") + inside).drop("_bin", "_start")
+
+
+def quantiles(df: DataFrame, value: str, probabilities: list[float], *keys: str) -> DataFrame:
+    """``q``: exact linear quantiles of the values that are set, by key, in the order of ``probabilities``."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = cumulative(counts, "_v", "_n", *keys).join(counts.groupBy(*keys).agg(F.sum("_n").alias("_all")), list(keys))
+    parts = []
+    for p in probabilities:
+        at = (F.col("_all") - 1) * F.lit(float(p))
+        own = lambda rank: F.max(F.when((F.col("below") <= rank) & (rank < F.col("below") + F.col("_n")), F.col("_v")))
+        parts.append(F.struct(own(F.floor(at)).alias("a"), own(F.ceil(at)).alias("b"), F.max(at - F.floor(at)).alias("w")))
+    return ranked.groupBy(*keys).agg(*(x.alias(f"_q{i}") for i, x in enumerate(parts))).select(*keys, F.array(*(F.col(f"_q{i}.a") + (F.col(f"_q{i}.b") - F.col(f"_q{i}.a")) * F.col(f"_q{i}.w") for i in range(len(parts)))).alias("q"))
+
+
 def cadence(obs: DataFrame) -> DataFrame:
     """Median gap of each source in seconds."""
-    return gaps(obs).where("gap_us > 0").groupBy("source_id").agg((F.percentile("gap_us", F.lit(0.5)) / MICROS).alias("median_seconds"))
+    return quantiles(gaps(obs).where("gap_us > 0"), "gap_us", [0.5], "source_id").select("source_id", (F.col("q")[0] / MICROS).alias("median_seconds"))
 
 
 def long_gaps(obs: DataFrame, times: float) -> DataFrame:
     """Gaps longer than ``times`` the source's median."""
     found = gaps(obs).where("gap_us > 0")
-    median = found.groupBy("source_id").agg(F.percentile("gap_us", F.lit(0.5)).alias("median"))
+    median = quantiles(found, "gap_us", [0.5], "source_id").select("source_id", F.col("q")[0].alias("median"))
     return found.join(median, "source_id").where(F.col("gap_us") > F.lit(times) * F.col("median")).select("source_id", "event_time", "next_time", (F.col("gap_us") / MICROS).alias("gap_seconds"))
 
 
+def authorised(rows: DataFrame, allowed: DataFrame, *keys: str) -> DataFrame:
+    """Rows whose key is among the allowed ones."""
+    return rows.join(allowed.select(*keys).distinct(), list(keys), "left_semi")
+
+
 def stale_sources(obs: DataFrame, issue: Column, times: float = 2.0) -> DataFrame:
     """Per source: whether the time since its latest known event exceeds ``times`` its cadence."""
     last = obs.where(F.col("known_at") <= issue).groupBy("source_id").agg(F.max("event_time").alias("last_event"))

@@ -73,10 +73,20 @@ def rolling_from_lags(series: DataFrame, keys: list[str], hours: int, value: str
 
 
 def elapsed_window(rows: DataFrame, keys: list[str], time: str, hours: int, value: str = "value") -> DataFrame:
-    """mean, std, min and max over (t - hours, t]; any null inside gives null."""
-    frame = Window.partitionBy(*keys).orderBy(micros(time)).rangeBetween(-(hours * HOUR_US - 1), 0)
+    """mean, std, min and max over (t - hours, t]; any null inside gives null.
+
+    Time is cut into blocks of a day or the window, and a row goes to its own block and to the next one if a window
+    there can reach it: no task sorts the whole history of a key.
+    """
+    width = hours * HOUR_US
+    length = max(width, 24 * HOUR_US)
+    t = micros(time)
+    own = F.floor(t / length)
+    sent = rows.withColumn("_x", F.explode(F.array_compact(F.array(F.struct(own.alias("b"), F.lit(True).alias("own")), F.when(t + width > (own + 1) * length, F.struct((own + 1).alias("b"), F.lit(False).alias("own")))))))
+    frame = Window.partitionBy(*keys, "_x.b").orderBy(t).rangeBetween(-(width - 1), 0)
     full = F.count(value).over(frame) == F.count(F.lit(1)).over(frame)
-    return rows.select("*", *(F.when(full, f(value).over(frame)).alias(n) for n, f in (("w_mean", F.avg), ("w_std", F.stddev_pop), ("w_min", F.min), ("w_max", F.max))))
+    wide = sent.select("*", *(F.when(full, f(value).over(frame)).alias(n) for n, f in (("w_mean", F.avg), ("w_std", F.stddev_pop), ("w_min", F.min), ("w_max", F.max))))
+    return wide.where("_x.own").drop("_x")
 
 
 def rate_of_change(series: DataFrame, keys: list[str], hours: int, value: str = "value") -> DataFrame:
@@ -97,7 +107,38 @@ def calendar(rows: DataFrame, time: str) -> DataFrame:
 
     col = F.col(time)
     sine, cosine = cyclic(F.hour(col), 24)
-    return rows.select("*", F.weekday(col).alias("weekday"), F.hour(col).alias("hour_of_day"), F.month(col).alias("month"), (F.weekday(col) >= 5).alias("weekend"), sine.alias("hour_sin"), cosine.alias("hour_cos"))
+    week_sine, week_cosine = cyclic(F.weekday(col), 7)
+    return rows.select(
+        "*", F.weekday(col).alias("weekday"), F.hour(col).alias("hour_of_day"), F.month(col).alias("month"), (F.weekday(col) >= 5).alias("weekend"),
+        sine.alias("hour_sin"), cosine.alias("hour_cos"), week_sine.alias("weekday_sin"), week_cosine.alias("weekday_cos"),
+    )
+
+
+def value_ramp(series: DataFrame, keys: list[str], lag: int, value: str = "value") -> DataFrame:
+    """The value ``lag`` hours before and its change from the hour before that."""
+    wide = lag_features(series, keys, [lag, lag + 1], value)
+    return wide.select(*keys, "hour", F.col(f"lag_{lag}").alias("value"), (F.col(f"lag_{lag}") - F.col(f"lag_{lag + 1}")).alias("ramp"))
+
+
+def _squares(mean: Column):
+    return lambda a, x: a + (x - mean) * (x - mean)
+
+
+def feature_vector(series: DataFrame, keys: list[str], lags: tuple[int, ...] = (1, 24, 48, 168), rolling: tuple[int, ...] = (3, 24), value: str = "value") -> DataFrame:
+    """keys, hour, lags, ramp, rolling means and deviations of earlier hours, and the calendar: one shuffle.
+
+    A rolling value is null unless all its hours are there.
+    """
+    back = sorted({*lags, 1, 2, *range(1, max(rolling, default=0) + 1)})
+    wide = lag_features(series, keys, back, value)
+    parts = []
+    for h in rolling:
+        own = F.array(*(F.col(f"lag_{k}") for k in range(1, h + 1)))
+        full = ~F.exists(own, lambda x: x.isNull())
+        mean = F.aggregate(own, F.lit(0.0), lambda a, x: a + x) / h
+        parts += [F.when(full, mean).alias(f"mean_{h}"), F.when(full, F.sqrt(F.aggregate(own, F.lit(0.0), _squares(mean)) / h)).alias(f"std_{h}")]
+    rows = wide.select(*keys, "hour", *(F.col(f"lag_{k}") for k in lags), (F.col("lag_1") - F.col("lag_2")).alias("ramp_1"), *parts)
+    return calendar(rows, "hour")
 
 
 def window_sum(events: DataFrame, issues: DataFrame, keys: list[str], hours: int, time: str = "known_at", value: str = "value") -> DataFrame:
@@ -114,12 +155,21 @@ def window_sum(events: DataFrame, issues: DataFrame, keys: list[str], hours: int
 
 
 def latest_before(events: DataFrame, issues: DataFrame, keys: list[str], time: str = "known_at", value: str = "value") -> DataFrame:
-    """For each issue the latest event at or before it: one sort of the union, no pairs."""
+    """For each issue the latest event at or before it, of several at once that with the highest value.
+
+    Events and issues of a day are sorted together; the last event of the days before is carried over, so no task
+    sorts the whole history of a key.
+    """
+    day = lambda c: F.floor(micros(c) / (24 * HOUR_US))
     e = events.select(*keys, F.col(time).alias("at"), F.lit(0).alias("kind"), F.struct(F.col(time).alias("event_at"), F.col(value).alias("value")).alias("event"))
     i = issues.select(*keys, F.col("issue").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(e.schema["event"].dataType).alias("event"))
-    past = Window.partitionBy(*keys).orderBy("at", "kind", "event.event_at", "event.value").rowsBetween(Window.unboundedPreceding, 0)
-    both = e.unionByName(i).withColumn("event", F.last("event", ignorenulls=True).over(past))
-    return both.where("kind = 1").select(*keys, F.col("at").alias("issue"), F.col("event.event_at").alias("event_at"), F.col("event.value").alias("value"))
+    both = e.unionByName(i).withColumn("_d", day("at"))
+    tops = both.groupBy(*keys, "_d").agg(F.max("event").alias("_top"))
+    carried = tops.select(*keys, "_d", F.last("_top", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))
+    past = Window.partitionBy(*keys, "_d").orderBy("at", "kind", "event").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("_own", F.last("event", ignorenulls=True).over(past)).where("kind = 1").join(carried, [*keys, "_d"])
+    got = found.withColumn("event", F.coalesce("_own", "_carried"))
+    return got.select(*keys, F.col("at").alias("issue"), F.col("event.event_at").alias("event_at"), F.col("event.value").alias("value"))
 
 
 FALLBACK_HOURS = (168, 167, 169, 336)
@@ -150,6 +200,25 @@ def long_lead_median(targets: DataFrame, series: DataFrame, keys: list[str], lag
     return targets.join(got, [*keys, "hour"], "left").select(*keys, "hour", array_quantile(F.col("vs"), 0.5).alias("value"))
 
 
+def long_lead_fallback(targets: DataFrame, series: DataFrame, keys: list[str], lags: tuple[int, ...] = (504, 672, 840)) -> DataFrame:
+    """Where ``seasonal_fallback`` had only the latest value left, the median of the long lags that exist instead."""
+    median = long_lead_median(targets, series, keys, lags).withColumnRenamed("value", "_median")
+    rows = targets.join(median, [*keys, "hour"])
+    return rows.withColumn("value", F.when(F.col("label") == "latest_causal", F.coalesce("_median", "value")).otherwise(F.col("value"))).drop("_median")
+
+
+def label_histogram(rows: DataFrame, label: str, names: list[str]) -> DataFrame:
+    """Rows of each name, 0 for names that do not occur."""
+    counts = rows.agg(*(F.count_if(F.col(label) == n).alias(f"_{i}") for i, n in enumerate(names)))
+    return counts.select(F.explode(F.array(*(F.struct(F.lit(n).alias(label), F.col(f"_{i}").alias("rows")) for i, n in enumerate(names)))).alias("x")).select("x.*")
+
+
+def complete_hours(rows: DataFrame, time: str, slots: int = 4) -> DataFrame:
+    """Hours with one row at each part of the hour, whatever its values: an index of rows, not of values."""
+    n = F.count_distinct(F.floor(F.pmod(micros(time), F.lit(HOUR_US)) / (HOUR_US // slots)))
+    return rows.groupBy(hour(time).alias("hour")).agg(F.count(F.lit(1)).alias("rows"), n.alias("_s")).where((F.col("rows") == slots) & (F.col("_s") == slots)).drop("_s")
+
+
 def snapshot(obs: DataFrame, issues: DataFrame, sources: list[str], stale_hours: float = 3.0) -> DataFrame:
     """Per issue: value, missing, stale and freshness of each source, hour and weekday, in one wide row."""
     grid = issues.select("issue", F.explode(F.array(*(F.lit(s) for s in sources))).alias("source_id"))
@@ -168,3 +237,27 @@ def standard_scale(rows: DataFrame, train: Column, columns: list[str]) -> DataFr
     fit = rows.where(train).agg(*(F.avg(c).alias(f"m_{c}") for c in columns), *(F.stddev_pop(c).alias(f"s_{c}") for c in columns)).first()
     scaled = {c: (F.col(c) - F.lit(fit[f"m_{c}"])) / F.lit(fit[f"s_{c}"] or 1.0) for c in columns}
     return rows.withColumns(scaled)
+
+
+def fit_scale(train: DataFrame, value: str, cutoff: Column, *keys: str, id: str = "event_id") -> DataFrame:
+    """keys, m, s, fitted_at and sources of a scaler. Refused: rows of another partition, rows known or dated after the
+    cutoff, and repeated ids."""
+    from ..guards import refuse_if_any, require_unique
+
+    late = (F.col("known_at") > cutoff) | (F.col("event_time") > cutoff)
+    require_unique(refuse_if_any(train, other_partition=~F.col("partition").eqNullSafe(F.lit("train")), after_the_cutoff=late), id)
+    sd = F.coalesce(F.nullif(F.stddev_pop(value), F.lit(0.0)), F.lit(1.0))
+    return train.groupBy(*keys).agg(F.avg(value).alias("m"), sd.alias("s"), F.first(cutoff).alias("fitted_at"), F.array(F.concat_ws(":", *keys, F.lit("fit"))).alias("fit_sources"))
+
+
+def apply_scale(rows: DataFrame, fit: DataFrame, value: str, *keys: str) -> DataFrame:
+    """Scaled values with their lineage: known when both the row and the fit are, from the sources of both."""
+    joined = rows.join(fit, list(keys))
+    return joined.withColumns({value: (F.col(value) - F.col("m")) / F.col("s"), "known_at": F.greatest("known_at", "fitted_at"), "sources": F.array_sort(F.array_union("sources", "fit_sources"))}).drop("m", "s", "fitted_at", "fit_sources")
+
+
+def refuse_repeated_times(rows: DataFrame, time: str, *keys: str) -> DataFrame:
+    """Refuses two eligible events of one key at one time."""
+    from ..guards import require_unique
+
+    return require_unique(rows, *keys, time)

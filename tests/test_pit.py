@@ -42,13 +42,13 @@ def test_conflicts_count_only_when_eligible(spark):
         pit.resolve(df, at(T + 2 * H), "value", "unit")
 
 
-def test_many_issues_by_days_equals_literal(spark, monkeypatch):
+def test_many_issues_equal_one_by_one(spark):
     rows = [row(k % 4, T + (k * 7 % 90) * H, float(k), source="ab"[k % 2], record=f"r{k % 3}") for k in range(60)]
     df = spark.createDataFrame(rows, SCHEMA)
-    issues = spark.createDataFrame([(T + 5 * k * H,) for k in range(20)], "issue timestamp_ntz")
-    one = sorted(map(tuple, pit.as_of_many(df, issues).collect()))
-    monkeypatch.setattr(pit, "MOST_LITERAL_ISSUES", 3)
-    assert sorted(map(tuple, pit.as_of_many(df, issues).collect())) == one
+    issues = spark.createDataFrame([(T + 25 * k * H,) for k in range(5)], "issue timestamp_ntz")
+    got = sorted((r.issue, r.source_id, r.source_record_id, r.revision_sequence) for r in pit.as_of_many(df, issues).collect())
+    want = [(T + 25 * k * H, r.source_id, r.source_record_id, r.revision_sequence) for k in range(5) for r in pit.as_of(df, at(T + 25 * k * H)).collect()]
+    assert got == sorted(want)
 
 
 def test_membership_and_units_are_refused(spark):
