@@ -10,7 +10,7 @@ import sys
 def main(args: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="chronolake")
     sub = parser.add_subparsers(dest="command", required=True)
-    for name, words in (("query", ("name", "folder")), ("acceptance", ("folder",)), ("readiness", ("config",))):
+    for name, words in (("query", ("name", "folder")), ("acceptance", ("folder",)), ("readiness", ("config",)), ("run-champion", ("folder",))):
         p = sub.add_parser(name)
         for w in words:
             p.add_argument(w)
@@ -29,6 +29,12 @@ def main(args: list[str] | None = None) -> int:
 
         catalogue.queries()[a.name](spark, a.folder).show(50, truncate=False)
         return 0
+    if a.command == "run-champion":
+        from .plans.runs import run_synthetic
+
+        out = run_synthetic(spark, a.folder)
+        print(json.dumps({k: out[k] for k in ("champions", "seconds")}, indent=1))
+        return 0
     from pyspark.sql import functions as F
 
     from .functions.scalars import utc_time

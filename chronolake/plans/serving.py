@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta
+from zoneinfo import available_timezones
 
 from ..guards import Refused
 from ..sources.sinks import content_hash, load_bundle
@@ -62,23 +64,78 @@ def placeholder(value) -> bool:
     return value is None or (isinstance(value, str) and (not value.strip() or value.startswith("<") or value.startswith("REPLACE_")))
 
 
+#: Fields of a target's contract.
+CONTRACT = ("target_name", "target_entity", "unit", "sign_convention", "resolution_seconds", "forecast_issue_time", "target_valid_time", "horizon_seconds", "aggregation_rule", "label_availability_rule", "forecast_type", "evaluation_metrics")
+CANDIDATES = ("persistence", "seasonal_persistence", "historical_conditional", "ridge", "boosted")
+
+
+def writable(folder: str) -> bool:
+    """Whether a folder, or the nearest one above it that exists, can be written to."""
+    path = os.path.abspath(folder)
+    while not os.path.exists(path):
+        path = os.path.dirname(path)
+    return os.path.isdir(path) and os.access(path, os.W_OK)
+
+
 def readiness(audit: dict, config: dict, expected: list[str]) -> Report:
-    """Rules over a collected audit and the run's configuration."""
+    """Rules over a collected audit and the run's configuration; parts that the configuration leaves out are not asked.
+
+    Checks that fail stop a run; those that only warn ask for a look.
+    """
     out = Report()
-    present = {r["source_id"] for r in audit["coverage"]}
+    cover = {r["source_id"]: r for r in audit["coverage"]}
+    given = lambda *keys: any(k in config for k in keys)
+    target = config.get("target", {})
     out.add("config complete", not [k for k, v in config.items() if placeholder(v)])
-    out.add("expected sources", not set(expected) - present, ", ".join(sorted(set(expected) - present)))
-    out.add("eligible rows", all(r["eligible"] > 0 for r in audit["coverage"]))
+    if given("target"):
+        unset = [k for k in CONTRACT if placeholder(target.get(k))]
+        out.add("target contract resolved", not unset, ", ".join(unset))
+        out.add("target units resolved", not placeholder(target.get("unit")), str(target.get("unit")))
+        out.add("sign convention resolved", not placeholder(target.get("sign_convention")), str(target.get("sign_convention")))
+    if given("columns"):
+        out.add("target column exists", not placeholder(config["columns"].get("value")))
+    out.add("expected sources", not set(expected) - set(cover), ", ".join(sorted(set(expected) - set(cover))))
+    out.add("dataset date range", any(r["rows"] for r in cover.values()))
+    out.add("eligible rows", all(r["eligible"] > 0 for r in cover.values()))
     out.add("consistent units", all(r["consistent"] for r in audit["units"]))
+    out.add("cadence", any(r["median_seconds"] for r in audit["cadence"]), warn=True)
     out.add("no duplicates", all(r["duplicate_rows"] == 0 for r in audit["duplicates"]))
     out.add("fresh sources", not any(r["stale"] for r in audit["stale"]), warn=True)
+    out.add("gaps", not any(r["stale"] for r in audit["stale"]), warn=True)
     out.add("missing values", all(r["fraction"] <= 0.5 for r in audit["missingness"]), warn=True)
     out.add("no future events", all(r["future_rows"] == 0 for r in audit["future"]), warn=True)
+    out.add("revisions", True, f"{sum(r['revision_rows'] for r in audit['revisions'])} rows")
+    out.add("availability by horizon", any(r["available"] for r in audit["horizons"]), warn=True)
+    policy = config.get("known_at_policy", "require")
+    if policy != "require":
+        allowed = bool(config.get("publication_rules", {}).get("reconstruction_allowed"))
+        out.add("documented publication rule", False, policy, warn=allowed)
+    if given("timezone"):
+        out.add("time zone", config["timezone"] in available_timezones(), str(config["timezone"]))
+    for row in audit.get("timestamps", []):
+        out.add(f"timestamps of {row['source_id']}", not row["unparseable"], f"{row['naive']} without a zone", warn=not row["unparseable"])
+    if given("first_origin", "train_seconds"):
+        begin = datetime.fromisoformat(config["first_origin"]) - timedelta(seconds=config.get("train_seconds", 0))
+        out.add("sufficient history", any(r["first_event"] and r["first_event"] <= begin.replace(tzinfo=None) for r in cover.values()))
+    if given("target_source_id"):
+        own = cover.get(config["target_source_id"])
+        empty = {r["source_id"]: r["missing"] for r in audit["missingness"]}
+        labels = own["rows"] - empty.get(config["target_source_id"], 0) if own else 0
+        out.add("sufficient labels", labels >= config.get("minimum_label_count", 1), str(labels))
+    if given("candidates"):
+        out.add("candidates available", bool(set(config["candidates"]) & set(CANDIDATES)))
+    if given("output_directory"):
+        out.add("output directory writable", writable(config["output_directory"]))
     return out
 
 
-def acceptance(folder: str, report: Report | None = None) -> Report:
-    """Whether a bundle loads, its hashes reproduce and its documents hold together."""
+def acceptance(folder: str, report: Report | None = None, allow_fallback: bool = False) -> Report:
+    """Whether a bundle loads, its hashes reproduce and its documents hold together.
+
+    Parts that only an end-to-end run writes (contract, folds, provenance) are asked of the bundles that name a model.
+    """
+    from .responses import respond
+
     out = Report()
     try:
         docs = load_bundle(folder)
@@ -86,11 +143,32 @@ def acceptance(folder: str, report: Report | None = None) -> Report:
         out.add("bundle", False, str(error))
         return out
     out.add("bundle", True)
-    f = docs["forecast.json"]
+    f, board, source = docs["forecast.json"], docs["scoreboard.json"], docs["provenance.json"]
     out.add("quantiles in order", f["quantiles"] == sorted(f["quantiles"]))
     out.add("probabilities sum to one", abs(sum(docs["histogram.json"]["probabilities"]) - 1) < 1e-9)
     out.add("hash reproduces", content_hash(f) == docs["run_manifest.json"]["artifacts"]["forecast.json"])
-    out.add("scoreboard present", bool(docs["scoreboard.json"]))
+    out.add("scoreboard present", bool(board))
+    if f.get("model_id"):
+        out.add("contract complete", not any(placeholder(f.get(k)) for k in ("target", "unit", "sign_convention", "horizon_seconds")))
+        out.add("point in time", bool(source.get("as_of_policy")) and bool(source.get("pit_ready") or source.get("raw_receipts")))
+        out.add("units and time zones resolved", not any("unit" in str(e).lower() or "timezone" in str(e).lower() for e in source.get("errors", [])))
+        folds = f.get("fold_summary", {})
+        out.add("out-of-fold evidence", folds.get("folds", 0) > 0 and folds.get("oof_rows", 0) > 0)
+        out.add("holdout untouched", folds.get("holdout_used") is False)
+        out.add("champion evaluated", board.get("selected_model") in board.get("candidates", {}))
+        unset = [k for k in ("source_ids", "dataset_manifest_id", "feature_manifest_id", "training_data_hash", "fit_cutoff") if not source.get(k)]
+        out.add("provenance complete", not unset, ", ".join(unset))
+    try:
+        respond(f, docs["histogram.json"], board, source)
+        out.add("answer valid", True)
+    except Refused as error:
+        out.add("answer valid", False, str(error))
+    if source.get("abstained"):
+        out.add("state", False, "abstained")
+    elif source.get("fallback"):
+        out.add("state", False, "fallback", warn=allow_fallback)
+    else:
+        out.add("state", "fallback" in source)
     if report is not None:
         out.add("readiness", report.ready)
     return out
@@ -106,7 +184,7 @@ class ForecastService:
     def latest(self, now: datetime) -> dict:
         if not self.bundles:
             return {"state": "ABSTAIN", "forecast": None}
-        best = max(self.bundles.values(), key=lambda b: b["forecast.json"]["issue_time"])
+        best = max(self.bundles.values(), key=lambda b: datetime.fromisoformat(b["forecast.json"]["issue_time"]))
         return self._answer(best, now)
 
     def by_id(self, forecast_id: str, now: datetime) -> dict:
@@ -128,6 +206,8 @@ class ForecastService:
             states.add("DEGRADED")
         if bundle["provenance.json"].get("fallback"):
             states.add("FALLBACK")
+        if bundle["provenance.json"].get("abstained"):
+            states.add("ABSTAIN")
         return {"state": next(s for s in STATES if s in states), "forecast": f}
 
 
