@@ -160,7 +160,7 @@ def evaluate_samplers(panel: DataFrame, targets: list[str], methods: list[str],
     def run(key: tuple, own: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
         out = []
         if not len(own) or not len(before):
-            return pd.DataFrame({c: [] for c in ("method", "week", "capture", "sharpness", "mae", "bias")})
+            return pd.DataFrame([], columns=["method", "week", "capture", "sharpness", "mae", "bias"], dtype=object)
         own, before = own.sort_values("at"), before.set_axis(own.columns, axis=1).sort_values("at")
         truth, history = own[targets].to_numpy(float), before[targets].to_numpy(float)
         for number, method in enumerate(methods):
