@@ -189,6 +189,47 @@ def test_kneser_ney_is_a_distribution_and_tells_languages_apart(spark):
     assert {r.lang_pred for r in langid.identify(docs(spark), F.lit(False)).collect()} == {"und"}
 
 
+def plain_kneser_ney(train):
+    """log10 P(last | before) of four characters, by dictionaries: train is language -> texts of letters and single spaces."""
+    levels = {}
+    for lang, texts in train.items():
+        now = Counter(("   " + t)[k : k + 4] for t in texts for k in range(len(t)))
+        levels[lang] = [now]
+        for _ in range(3):
+            now = Counter(g[1:] for g in now)
+            levels[lang].append(now)
+    letters = {g for own in levels.values() for g in own[3]}
+
+    def probability(lang, gram):
+        if not gram:
+            return 1 / (len(letters) + 1)
+        counts = levels[lang][4 - len(gram)]
+        once, twice = (sum(c == k for c in counts.values()) for k in (1, 2))
+        d = min(0.9, max(0.1, once / (once + 2 * twice))) if once else 0.5
+        own = {g: c for g, c in counts.items() if g[:-1] == gram[:-1]}
+        total, lower = sum(own.values()), probability(lang, gram[1:])
+        return lower if not total else max(0, own.get(gram, 0) - d * (gram in own)) / total + d * len(own) / total * lower
+
+    return probability
+
+
+def test_kneser_ney_equals_plain_counts():
+    rng = np.random.default_rng(4)
+    train = {x: [" ".join("".join(rng.choice(list(signs), rng.integers(1, 6))) for _ in range(6)) for _ in range(8)] for x, signs in (("aa", "abcde"), ("bb", "abcéß"), ("cc", "cdx"))}
+    counts = {}
+    for x, texts in train.items():
+        key, _, _ = langid.grams(texts)
+        counts[x] = np.unique(key, return_counts=True)
+    model, plain = langid.Model(counts), plain_kneser_ney(train)
+    some = ["abc de", "éß", "x", "zzz q", "a b c d e x é"]
+    e, letters = model.entropies(some)
+    for k, t in enumerate(some):
+        assert letters[k] == sum(c != " " for c in t)
+        for j, x in enumerate(model.langs):
+            want = -np.mean([math.log10(plain(x, ("   " + t)[i : i + 4])) for i in range(len(t))])
+            assert abs(e[k, j] - want) < 1e-5
+
+
 def test_language_models_keep_every_gram_and_calibrate_rare_languages(spark, monkeypatch):
     signs = np.random.default_rng(1).integers(0x4E00, 0x9F00, (60, 10_000))
     rows = [(k, "".join(map(chr, own)), "zh") for k, own in enumerate(signs)] + [(100 + k, f"the river and the stone {k}", "en") for k in range(340)] + [(500 + k, f"das licht {k} am fluss", "de") for k in range(6)]
