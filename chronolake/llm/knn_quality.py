@@ -87,14 +87,14 @@ class Axes:
         by_term = np.argsort(at, kind="stable")
         wide = min(rows, len(self.terms), LATENT + 16)
         y = _product(row, at, value, np.random.default_rng(7).standard_normal((len(self.terms), wide), np.float32), rows)
-        for _ in range(1):  # a power iteration sharpens the range
-            q = np.linalg.qr(y)[0]
-            z = _product(at[by_term], row[by_term], value[by_term], q.astype(np.float32), len(self.terms))
-            y = _product(row, at, value, np.linalg.qr(z)[0].astype(np.float32), rows)
-        q = np.linalg.qr(y)[0]
-        z = _product(at[by_term], row[by_term], value[by_term], q.astype(np.float32), len(self.terms))
-        left = np.linalg.svd(z, full_matrices=False)[0][:, : self.axes.shape[1]]
-        self.axes[:, : left.shape[1]] = left * idf[:, None]
+        z = _product(at[by_term], row[by_term], value[by_term], _orthonormal(y), len(self.terms))
+        del y
+        y = _product(row, at, value, _orthonormal(z), rows)  # a power iteration sharpens the range
+        z = _product(at[by_term], row[by_term], value[by_term], _orthonormal(y), len(self.terms))
+        power, turn = np.linalg.eigh((z.T @ z).astype(np.float64))  # left singular vectors by the small side
+        best = np.argsort(-power, kind="stable")[: self.axes.shape[1]]
+        best = best[power[best] > 1e-9 * max(power.max(), 1e-30)]
+        self.axes[:, : len(best)] = (z @ (turn[:, best] / np.sqrt(power[best])).astype(np.float32)) * idf[:, None]
 
     def _place(self) -> None:
         self.place = np.full(1 << TERM_BITS, -1, np.int32)
@@ -116,12 +116,20 @@ class Axes:
         doc, term, weight = terms(data, offsets, shapes)
         at = self.place[term]
         own = at >= 0
-        return unit(_product(doc[own], at[own], weight[own], self.axes, n))
+        return unit(_product(doc[own], at[own], weight[own], self.axes, n).astype(np.float64))
+
+
+def _orthonormal(y: np.ndarray) -> np.ndarray:
+    """An orthonormal basis of the columns of a tall matrix, from their small table of products; no second tall copy
+    but the result."""
+    power, turn = np.linalg.eigh((y.T @ y).astype(np.float64))
+    keep = power > 1e-9 * max(power.max(), 1e-30)
+    return y @ (turn[:, keep] / np.sqrt(power[keep])).astype(np.float32)
 
 
 def _product(row: np.ndarray, col: np.ndarray, value: np.ndarray, dense: np.ndarray, rows: int) -> np.ndarray:
-    """A sparse matrix, sorted by row, times a dense one."""
-    out = np.zeros((rows, dense.shape[1]))
+    """A sparse matrix, sorted by row, times a dense one, both in single precision."""
+    out = np.zeros((rows, dense.shape[1]), np.float32)
     at = 0
     cuts = np.searchsorted(row, np.arange(rows + 1))
     while at < rows:
