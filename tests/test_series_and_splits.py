@@ -1,3 +1,6 @@
+import random
+import re
+import statistics
 from datetime import datetime, timedelta
 
 import pytest
@@ -22,6 +25,29 @@ def test_elapsed_window_is_half_open_and_null_propagates(spark):
     assert out[T + 6 * H].w_mean is None
 
 
+def test_elapsed_window_merges_running_parts(spark, capsys):
+    rng = random.Random(5)
+    rows = [("ab"[k % 2], T + timedelta(minutes=15 * rng.randrange(4 * 40)), rng.choice([7.1, 7.1, 1e9 + rng.random(), None if rng.random() < 0.1 else -3.0])) for k in range(400)]
+    rows += [("c", T + 6 * H - timedelta(microseconds=1), 0.1), ("c", T + 6 * H, 0.1), ("c", T + 6 * H, 0.1), ("c", T + 12 * H - timedelta(microseconds=1), 0.1), ("d", None, 1.0), ("d", None, 4.0), ("d", T, 9.0), ("e", None, None), ("e", datetime(1969, 12, 31, 23), 2.0)]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "k string, t timestamp_ntz, value double, id int")
+    for hours in (1, 6, 30):
+        wide = series.elapsed_window(df, ["k"], "t", hours)
+        assert wide.columns == [*df.columns, "w_mean", "w_std", "w_min", "w_max"]
+        out = wide.collect()
+        assert sorted(r.id for r in out) == list(range(len(rows)))
+        for r in out:
+            inside = [v for k, t, v in rows if k == r.k and (t is r.t if None in (t, r.t) else r.t - hours * H < t <= r.t)]
+            got = (r.w_mean, r.w_std, r.w_min, r.w_max)
+            if None in inside:
+                assert got == (None,) * 4
+            else:
+                assert got == pytest.approx((statistics.fmean(inside), statistics.pstdev(inside), min(inside), max(inside)), rel=1e-12, abs=1e-12)
+    # a frame that ends at the row and starts anywhere but at its partition's start is summed anew for each row
+    wide.explain(True)
+    frames = re.findall(r"specifiedwindowframe\((.*?)\)", capsys.readouterr().out)
+    assert frames and all("unboundedpreceding" in f for f in frames)
+
+
 def test_rate_needs_both_ends(spark):
     rows = [("s", T + h * H, v) for h, v in ((0, 1.0), (2, 3.0), (3, 9.0))]
     out = {r.hour: r.rate for r in series.rate_of_change(spark.createDataFrame(rows, "k string, hour timestamp_ntz, value double"), ["k"], 2).collect()}
