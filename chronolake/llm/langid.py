@@ -3,28 +3,35 @@
 Texts become letters and single spaces.  Four-grams of all training documents are counted per language; lower
 orders use continuation counts, which follow from the distinct four-grams, all of which are kept.  Grams of all languages share sorted
 arrays of hashes (a radix index over the top bits finds the place), each with a log probability per language.  The
-language with the lowest cross-entropy per character wins; scores and the rejection threshold are calibrated on a
-bounded sample of each language's training documents.
+language with the lowest cross-entropy per character wins.  All documents are scored once into a working table of a
+few numbers a document; the sharpness of the scores and the rejection thresholds come from all training documents in
+it.  A bounded sample only tells where to look for the thresholds and changes no result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from math import floor
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.quality import cumulative
 from .text import mix, slices
-from .workspace import bounded_batches
+from .workspace import bounded_batches, materialise
 
 ORDER = 4
-#: Training documents, about, on which scores and rejection are calibrated; as many again for rare languages.
+#: Training documents, about, of the sample that tells where to look for thresholds; as many again for rare languages.
 CALIBRATION_DOCS = 2000
 #: Share of true documents that the rejection threshold may reject.
 REJECT_TAIL = 0.001
+#: Share of the sample above which the threshold of all documents is looked for first.
+SEARCH_TAIL = 0.02
+#: Sharpness of the scores: that with the highest likelihood of the training documents' languages is taken.
+SHARPNESS = (1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0)
 POSITIONS = 1 << 18
 
 
@@ -195,25 +202,67 @@ def _entropy_rows(model: Model):
     return run
 
 
-def calibrate(model: Model, sample: DataFrame) -> tuple[float, np.ndarray]:
-    """Sharpness of the scores, and each language's highest acceptable cross-entropy, from sample rows (text, lang)."""
+def calibrate(model: Model, sample: DataFrame) -> np.ndarray:
+    """For each language a cross-entropy that about ``SEARCH_TAIL`` of the sample rows (text, lang) exceed."""
     rows = sample.mapInArrow(_entropy_rows(model), "lang string, e array<double>").toPandas()
-    limit = np.full(len(model.langs), np.inf)
-    rows = rows[rows["lang"].isin(model.langs)]
-    if not len(rows):
-        return 10.0, limit
-    e = np.array(rows["e"].tolist())
-    true = np.array([model.langs.index(x) for x in rows["lang"]])
-    best, sharp = -np.inf, 10.0
-    for t in (1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0):
-        z = -t * (e - e.min(1, keepdims=True))
-        fit = float((z[np.arange(len(e)), true] - np.log(np.exp(z).sum(1))).mean())
-        if fit > best:
-            best, sharp = fit, t
-    for j in range(len(model.langs)):
-        if (true == j).any():
-            limit[j] = np.quantile(e[true == j, j], 1 - REJECT_TAIL)
-    return sharp, limit
+    least = np.full(len(model.langs), -np.inf)
+    for j, x in enumerate(model.langs):
+        own = [e[j] for e in rows["e"][rows["lang"] == x]]
+        if own:
+            least[j] = np.quantile(own, 1 - SEARCH_TAIL)
+    return least
+
+
+SCORED = "doc_id bigint, train boolean, letters boolean, best int, e double, sums array<double>, lang int, own double"
+
+
+def _scored(model: Model):
+    """Per document its best language and cross-entropy there, the sum behind its score at each sharpness, and its own
+    language and cross-entropy there if it is a training document."""
+    index = {x: j for j, x in enumerate(model.langs)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 2 << 20):
+            e, letters = model.entropies(batch.column("text").fill_null("").to_pylist())
+            rows, best = np.arange(batch.num_rows), e.argmin(1)
+            low = e[rows, best]
+            sums = np.stack([np.exp(-t * (e - low[:, None])).sum(1) for t in SHARPNESS], 1)
+            lang = np.array([index.get(x, -1) for x in batch.column("lang").to_pylist()])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("train"), pa.array(letters > 0), pa.array(best.astype(np.int32)), pa.array(low), pa.array(sums.tolist(), pa.list_(pa.float64())), pa.array(lang.astype(np.int32), mask=lang < 0), pa.array(e[rows, lang], mask=lang < 0)],
+                names=["doc_id", "train", "letters", "best", "e", "sums", "lang", "own"],
+            )
+
+    return run
+
+
+def _by(index: str, values) -> Column:
+    return F.array(*(F.lit(v) for v in values))[F.col(index)]
+
+
+def thresholds(scored: DataFrame, least: np.ndarray) -> tuple[int, np.ndarray]:
+    """Place of the sharpness, and each language's highest acceptable cross-entropy, from all training documents.
+
+    Quantiles are exact.  Only values from ``least`` on are counted, or all where the quantile lies below it.
+    """
+    own = scored.where("lang is not null")
+    # decimals, so that sums do not hang on the order of rows
+    fits = [F.sum((-t * (F.col("own") - F.col("e")) - F.log(F.col("sums")[k])).cast("decimal(28,12)")).alias(f"fit{k}") for k, t in enumerate(SHARPNESS)]
+    totals = own.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("own") < _by("lang", least.tolist())).alias("under"), *fits).collect()
+    fit = [sum(r[f"fit{k}"] for r in totals) for k in range(len(SHARPNESS))]
+    begin, rank, weight, limit = least.copy(), np.zeros(len(least), int), np.zeros(len(least)), np.full(len(least), np.inf)
+    for r in totals:
+        at = (r.n - 1) * (1 - REJECT_TAIL)
+        rank[r.lang], weight[r.lang] = floor(at), at - floor(at)
+        if r.under > rank[r.lang]:
+            begin[r.lang] = -np.inf
+        else:
+            rank[r.lang] -= r.under
+    counts = own.where(F.col("own") >= _by("lang", begin.tolist())).groupBy("lang", "own").agg(F.count(F.lit(1)).alias("n"))
+    holds = lambda ahead: F.max(F.when((F.col("below") <= F.col("rank") + ahead) & (F.col("rank") + ahead < F.col("below") + F.col("n")), F.col("own")))
+    for r in cumulative(counts, "own", "n", "lang").withColumn("rank", _by("lang", rank.tolist())).groupBy("lang").agg(holds(0).alias("a"), holds(1).alias("b")).collect():
+        limit[r.lang] = r.a if r.b is None else r.a + (r.b - r.a) * weight[r.lang]
+    return fit.index(max(fit)) if totals else 0, limit
 
 
 def identify(docs: DataFrame, train: Column, *, id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
@@ -226,28 +275,19 @@ def identify(docs: DataFrame, train: Column, *, id: str = "doc_id", text: str =
     rows = docs.select(F.col(id).cast("bigint").alias("doc_id"), F.coalesce(train, F.lit(True)).alias("train"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     learned = rows.where("train and lang is not null and text is not null").select("text", "lang", "doc_id")
     model = train_model(learned.select("text", "lang"))
+    if not model.langs:
+        return rows.select("doc_id", "train", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))
     own = F.when(F.col("train") & F.col("text").isNotNull(), F.col("lang"))
     sizes = rows.groupBy(own.alias("lang")).agg(F.count(F.lit(1)).alias("docs")).toPandas()
     every = max(1, int(sizes["docs"].sum()) // CALIBRATION_DOCS)
     # a rare language gives more of its documents, up to an equal share
-    share = max(1, CALIBRATION_DOCS // max(1, len(model.langs)))
+    share = max(1, CALIBRATION_DOCS // len(model.langs))
     steps = {x: min(every, max(1, int(n) // share)) for x, n in zip(sizes["lang"], sizes["docs"], strict=True) if isinstance(x, str)}
-    step = F.coalesce(F.create_map(*(F.lit(v) for pair in steps.items() for v in pair))[F.col("lang")], F.lit(every)) if steps else F.lit(every)
-    sharp, limit = calibrate(model, learned.where(F.pmod(F.xxhash64("doc_id"), step) == 0).select("text", "lang"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = np.array([*model.langs, "und"], object)
-        for batch in slices(batches, "text", 2 << 20):
-            n = batch.num_rows
-            if model.langs:
-                e, letters = model.entropies(batch.column("text").fill_null("").to_pylist())
-                best = e.argmin(1)
-                z = np.exp(-sharp * (e - e.min(1, keepdims=True)))
-                score = np.where(letters > 0, 1 / z.sum(1), 0.0)
-                rejected = (letters == 0) | (e[np.arange(n), best] > limit[best]) | (score < 0.5)
-                best = np.where(letters > 0, best, len(model.langs))
-            else:
-                best, score, rejected = np.zeros(n, np.int64), np.zeros(n), np.ones(n, bool)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("train"), pa.array(names[best], pa.string()), pa.array(score), pa.array(rejected)], names=["doc_id", "train", "lang_pred", "score", "rejected"])
-
-    return rows.select("doc_id", "train", "text").mapInArrow(run, "doc_id bigint, train boolean, lang_pred string, score double, rejected boolean")
+    step = F.coalesce(F.create_map(*(F.lit(v) for pair in steps.items() for v in pair))[F.col("lang")], F.lit(every))
+    least = calibrate(model, learned.where(F.pmod(F.xxhash64("doc_id"), step) == 0).select("text", "lang"))
+
+    scored = materialise(rows.select("doc_id", "train", "text", own.alias("lang")).mapInArrow(_scored(model), SCORED))
+    place, limit = thresholds(scored, least)
+    score = F.when(F.col("letters"), 1 / F.col("sums")[place]).otherwise(0.0)
+    rejected = ~F.col("letters") | (F.col("e") > _by("best", limit.tolist())) | (score < 0.5)
+    return scored.select("doc_id", "train", F.when(F.col("letters"), _by("best", model.langs)).otherwise("und").alias("lang_pred"), score.alias("score"), rejected.alias("rejected"))

@@ -246,6 +246,52 @@ def test_language_models_keep_every_gram_and_calibrate_rare_languages(spark, mon
     assert seen.count("de") == 6 and 0 < seen.count("en") < 80
 
 
+def test_language_scores_and_rejection_come_from_all_training_documents(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    some = {"en": "the river and stone with a light on every hill".split(), "de": "der fluss und ein stein mit dem licht am berg".split()}
+    rows = []
+    for k in range(700):
+        lang = "en" if k % 3 else "de"
+        own = rng.choice(some[lang], rng.integers(1, 9))
+        rows.append((k, " ".join(own), lang if rng.random() < 0.9 else "de"))  # some are labelled wrongly
+    rows += [(700 + k, "".join(rng.choice(list("qxzjvw"), 12)), None) for k in range(20)] + [(800, "river fluss", None), (801, "", "en"), (802, None, "de"), (803, "12", "de")]
+    model = langid.train_model(docs(spark, [r for r in rows if r[1] is not None and r[2]]).select("text", "lang"))
+    e, letters = model.entropies([t or "" for _, t, _ in rows])
+    e, own = e.astype(float), np.array([model.langs.index(x) if x and t is not None else -1 for _, t, x in rows])
+    learned = np.flatnonzero(own >= 0)
+    fit = []
+    for t in langid.SHARPNESS:
+        z = -t * (e[learned] - e[learned].min(1, keepdims=True))
+        fit.append((z[np.arange(len(z)), own[learned]] - np.log(np.exp(z).sum(1))).sum())
+    sharp = langid.SHARPNESS[int(np.argmax(fit))]
+    limit = np.array([np.quantile(e[own == j, j], 1 - langid.REJECT_TAIL) for j in range(2)])
+    best, low = e.argmin(1), e.min(1)
+    score = np.where(letters > 0, 1 / np.exp(-sharp * (e - low[:, None])).sum(1), 0)
+    sampled = langid.calibrate
+    monkeypatch.setattr(langid, "CALIBRATION_DOCS", 8)
+    for least in (sampled, lambda model, sample: np.full(2, -np.inf), lambda model, sample: np.array([np.inf, 0.5])):
+        monkeypatch.setattr(langid, "calibrate", least)
+        out = {r.doc_id: r for r in langid.identify(docs(spark, rows), F.lit(True)).collect()}
+        for i, (k, _, _) in enumerate(rows):
+            assert out[k].lang_pred == (model.langs[best[i]] if letters[i] else "und") and abs(out[k].score - score[i]) < 1e-4
+            if min(abs(low[i] - limit[best[i]]), abs(score[i] - 0.5)) > 1e-4:
+                assert out[k].rejected == bool(not letters[i] or low[i] > limit[best[i]] or score[i] < 0.5)
+
+
+def test_language_thresholds_are_exact_quantiles_wherever_the_search_begins(spark):
+    rng = np.random.default_rng(7)
+    own = [np.round(rng.random(n) * 2 - 0.1, digits) for n, digits in ((5000, 9), (3001, 2), (1, 3), (2, 3))]
+    values = [(j, float(x), float(x - rng.random() / 9)) for j, xs in enumerate(own) for x in xs]
+    rows = [(k, True, True, j, e, [1 + 1 / t for t in langid.SHARPNESS], j, x) for k, (j, x, e) in enumerate(values)]
+    rows += [(k, False, True, 0, 99.0, [1.0] * len(langid.SHARPNESS), None, None) for k in range(9)]
+    df = spark.createDataFrame(rows, langid.SCORED).repartition(3)
+    fit = [sum(-t * (x - e) - math.log(1 + 1 / t) for _, x, e in values) for t in langid.SHARPNESS]
+    want = [np.quantile(xs, 1 - langid.REJECT_TAIL) for xs in own] + [np.inf]
+    for least in ([-np.inf] * 5, [np.inf] * 5, [float(np.quantile(xs, 0.98)) for xs in own] + [-np.inf], [1.0, 1.9, -1.0, own[3].max(), 0.0]):
+        place, limit = langid.thresholds(df, np.array(least))
+        assert np.allclose(limit, want, rtol=1e-12, atol=0) and place == int(np.argmax(fit))
+
+
 def test_token_files_equal_whole_encoding(spark, tmp_path):
     from tokenizers import Tokenizer
 
